@@ -100,8 +100,8 @@ def found(docs: DataFrame, doc: str = "id", source: str = "ente_id", text: str =
     """Every place of a boilerplate line: (atto_id, riga), lines counted from 1."""
     keys = keyed(docs, doc, source, text)
     k = _with_kept(keys, blocks(keys))
-    at = F.filter(F.transform("_keys", lambda x, i: F.when(F.array_contains("_kept", x), i + 1)), lambda x: x.isNotNull())
-    return k.select(F.col("_doc").alias("atto_id"), F.explode(at).cast("int").alias("riga"))
+    at = F.filter(F.transform("_keys", lambda x, i: F.when(F.array_contains("_kept", x), (i + 1).cast("int"))), lambda x: x.isNotNull())
+    return k.select(F.col("_doc").alias("atto_id"), F.explode(at).alias("riga"))
 
 
 def block_report(docs: DataFrame, doc: str = "id", source: str = "ente_id", text: str = "testo_estratto") -> DataFrame:
