@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from actaspark.llm import boilerplate, tokenizer
+from actaspark.llm import boilerplate, leakage, tokenizer
 from actaspark.tables import load
 
 QUERIES = {
     "p1_found": lambda s, d: boilerplate.found(load(s, d, "atti")),
     "p1_blocks": lambda s, d: boilerplate.block_report(load(s, d, "atti")),
     "p1_clean": lambda s, d: boilerplate.cleaned(load(s, d, "atti")),
+    "p8_found": lambda s, d: leakage.join(load(s, d, "documents"), load(s, d, "valutazione")),
     "p7_ids": lambda s, d: tokenizer.encode(load(s, d, "documents")),
     "p7_round_trip": lambda s, d: tokenizer.round_trip(load(s, d, "documents")),
 }
