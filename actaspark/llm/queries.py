@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from actaspark.llm import boilerplate, leakage, tokenizer
+from actaspark.llm import areas, boilerplate, leakage, tokenizer
 from actaspark.tables import load
 
 QUERIES = {
@@ -10,6 +10,8 @@ QUERIES = {
     "p1_blocks": lambda s, d: boilerplate.block_report(load(s, d, "atti")),
     "p1_clean": lambda s, d: boilerplate.cleaned(load(s, d, "atti")),
     "p8_found": lambda s, d: leakage.join(load(s, d, "documents"), load(s, d, "valutazione")),
+    "p9_found": lambda s, d: areas.assign(load(s, d, "documents"), load(s, d, "esempi_area")).select("doc_id", "area"),
+    "p9_composition": lambda s, d: areas.composition(load(s, d, "documents"), load(s, d, "esempi_area")),
     "p7_ids": lambda s, d: tokenizer.encode(load(s, d, "documents")),
     "p7_round_trip": lambda s, d: tokenizer.round_trip(load(s, d, "documents")),
 }
