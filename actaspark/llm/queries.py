@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from actaspark.llm import areas, boilerplate, leakage, tokenizer
+from actaspark.llm import areas, boilerplate, leakage, names, tokenizer
 from actaspark.tables import load
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "p8_found": lambda s, d: leakage.join(load(s, d, "documents"), load(s, d, "valutazione")),
     "p9_found": lambda s, d: areas.assign(load(s, d, "documents"), load(s, d, "esempi_area")).select("doc_id", "area"),
     "p9_composition": lambda s, d: areas.composition(load(s, d, "documents"), load(s, d, "esempi_area")),
+    "p6_found": lambda s, d: names.link(load(s, d, "anac_sample"), load(s, d, "enti")),
     "p7_ids": lambda s, d: tokenizer.encode(load(s, d, "documents")),
     "p7_round_trip": lambda s, d: tokenizer.round_trip(load(s, d, "documents")),
 }
