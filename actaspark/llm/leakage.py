@@ -72,6 +72,7 @@ class Index:
         self.keys, self.first = np.unique(self.h, return_index=True)
         self.last = np.append(self.first[1:], len(self.h))
         self.prefix = np.ones(len(self.keys), bool)
+        self.width = max((len(x) for _, x in self.items), default=0) // EDIT + 1
 
     def numbers(self, text: str) -> np.ndarray:
         get = self.vocabulary.get
@@ -108,36 +109,49 @@ class Index:
         k, at = self.lookup(ids)
         if not len(k) or not self.prefix[k].any():
             return
-        wanted = set()
-        for x in np.unique(k[self.prefix[k]]):
-            wanted.update(self.o[self.first[x] : self.last[x]].tolist())
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for x, j in zip(k.tolist(), at.tolist()):
-            for e in range(self.first[x], self.last[x]):
-                o = int(self.o[e])
-                if o in wanted:
-                    found[o].append((int(self.p[e]), j))
-        for o, hits in found.items():
-            if len({p for p, _ in hits}) < SHARED:
-                continue
-            n = len(self.items[o][1])
-            width = n // EDIT + 1
-            bands: dict[int, set[int]] = defaultdict(set)
-            for p, j in hits:
-                b = (j - p) // width
-                for c in (b - 1, b, b + 1):
-                    bands[c].add(p)
+        # every place of every item that has one of the shingles, without a loop
+        size = self.last[k] - self.first[k]
+        start = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        e = start + np.arange(len(start))
+        owner, place, here = self.o[e], self.p[e], np.repeat(at, size)
+        # matches of an item in three neighbouring bands of diagonals, as wide as the longest item allows
+        wide = self.width
+        code, many = np.unique(owner * 4_000_000_000 + (here - place + 2_000_000_000) // wide, return_counts=True)
+        near = many.copy()
+        follows = code[1:] == code[:-1] + 1
+        near[1:][follows] += many[:-1][follows]
+        near[:-1][follows] += many[1:][follows]
+        enough = np.unique(code[near >= SHARED] // 4_000_000_000)
+        marked = np.zeros(len(self.items), bool)
+        marked[owner[np.repeat(self.prefix[k], size)]] = True
+        for o in enough[marked[enough]].tolist():
+            mine = owner == o
+            p = place[mine]
+            width = len(self.items[o][1]) // EDIT + 1
+            band = (here[mine] - p) // width
+            level, inverse = np.unique(band, return_inverse=True)
+            many = np.bincount(inverse)
             done: set[int] = set()
-            for b, ps in sorted(bands.items(), key=lambda x: -len(x[1])):
-                if len(ps) < SHARED or b - 1 in done or b + 1 in done:
+            for x in np.argsort(-many, kind="stable").tolist():
+                b = int(level[x])
+                if b - 1 in done or b + 1 in done:
                     continue
-                q = np.array(sorted(ps))
-                if (np.searchsorted(q, q + WINDOW) - np.arange(len(q))).max() >= SHARED:
+                q = np.unique(p[np.abs(band - b) <= 1])
+                if len(q) >= SHARED and (np.searchsorted(q, q + WINDOW) - np.arange(len(q))).max() >= SHARED:
                     done.add(b)
                     yield o, b * width + width // 2
 
     def verify(self, o: int, ids: np.ndarray, diagonal: int) -> bool:
+        """By alignment near a diagonal; a run of LEAST equal words on one diagonal is found first."""
         item = self.items[o][1]
+        width = len(item) // EDIT + 1
+        for d in range(diagonal - width, diagonal + width + 1):
+            i, j = max(0, -d), max(0, d)
+            n = min(len(item) - i, len(ids) - j)
+            if n >= LEAST:
+                apart = np.flatnonzero(item[i : i + n] != ids[j : j + n])
+                if np.diff(apart, prepend=-1, append=n).max() > LEAST:
+                    return True
         slack = 2 * (len(item) // EDIT + 1)
         return contains(item, ids[max(0, diagonal - slack) : max(0, diagonal + len(item) + slack)])
 

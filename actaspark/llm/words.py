@@ -27,16 +27,32 @@ def _repair(m: re.Match) -> str:
         return m.group()
 
 
+class _Plain(dict):
+    """The plain form of each character outside ASCII, found when first asked for."""
+
+    def __missing__(self, c: str) -> str:
+        out = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x) and unicodedata.category(x) != "Cf").lower()
+        self[c] = out
+        return out
+
+
+_PLAIN = _Plain()
+_OTHER = re.compile(r"[^\x00-\x7f]")
+
+
 def plain(text: str) -> str:
     """Lower case without accents, tags and invisible characters; broken UTF-8 repaired."""
     if not text.isascii():
-        text = _BROKEN.sub(_repair, text)
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        if "Ã" in text or "Â" in text or "â" in text:
+            text = _BROKEN.sub(_repair, text)
+        text = _OTHER.sub(lambda m: _PLAIN[m.group()], text.lower())
+    else:
+        text = text.lower()
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = _ENTITY.sub(" ", text)
-    return text.lower()
+    return text
 
 
 def words(text: str | None) -> list[str]:
