@@ -1,6 +1,6 @@
 """Subject areas of documents by weighted terms and a multi-pattern automaton.
 
-Terms (one to three words) are first weighted from the labelled examples: purity for an area times rarity. The
+Terms (one or two words) are first weighted from the labelled examples: purity for an area times rarity. The
 automaton built of them labels the sentences of the corpus, and terms are weighted anew from counts over all
 documents: a term stays if its labelled sentences are of one area and enough of its sentences are labelled; so terms that go with
 any subject drop out and those the examples lack come in. A sentence deals with an area whose terms, normalised by its length, exceed the threshold calibrated on
@@ -17,56 +17,62 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from actaspark.llm.words import _WORD, plain
+from actaspark.llm.words import plain
 from actaspark.storage import materialise
 
 #: Fixed value of the check: the share of sentences.
 SHARE = 0.2
 #: Least support of a term as a share of all sentences (so there are at most so many terms as its inverse times the terms of a sentence),
-#: examples used at most per area (a documented bound of the fit), entries a worker counts before it hands them on.
-SUPPORT, EXAMPLES, HELD = 1 / 20_000, 2_000, 300_000
+#: examples used at most per area (a documented bound of the fit).
+SUPPORT, EXAMPLES = 1 / 20_000, 2_000
 #: Least share of one area among a term's labelled sentences, and among all its sentences.
 PURITY, LABELLED = 0.9, 0.4
 NONE = ""
-_END = re.compile(r"(?<=[.!?;])\s+(?=[^\W\d_]|[\"'«“(])|[\n\r\v\f]+|<(?:br|/p|p|div|/div|li|/li|/h\d|h\d)[^<>]{0,100}>")
-_SHORT = re.compile(r"(?:^|[\s(])(?:n|nr|prot|art|artt|dott|sig|avv|ing|geom|arch|prof|pag|cap|lett|cfr|es|ecc|sigg|on|rag|mr|mrs|dr|no|art|sec|ch|par)\.$", re.IGNORECASE)
+_BLOCK = re.compile(r"<(?:br|/?p|/?div|/?li|/?h\d|/?tr|/?td)\b[^<>]{0,100}>", re.IGNORECASE)
+_END = re.compile(r"(?<=[.!?;])\s+(?=[a-z\"'(])|[\n\r\v\f]+")
+_SHORT = re.compile(r"(?:^|[\s(])(?:n|nr|prot|art|artt|dott|sig|avv|ing|geom|arch|prof|pag|cap|lett|cfr|es|ecc|sigg|on|rag|mr|mrs|dr|no|sec|ch|par)\.$")
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """The words of each sentence."""
-    if not text or not text.strip():
+    if not text:
         return []
+    if "<" in text:
+        text = _BLOCK.sub("\n", text)
+    text = plain(text)
     parts: list[str] = []
-    open_ = False
-    last = 0
-    for m in [*_END.finditer(text), None]:
-        piece = text[last : m.start() if m else len(text)]
-        if open_ and parts:
+    last, open_ = 0, False
+    for m in _END.finditer(text):
+        piece = text[last : m.start()]
+        if open_:
             parts[-1] += " " + piece
         else:
             parts.append(piece)
-        open_ = bool(m and m.group().isspace() and not re.search(r"[\n\r\v\f]", m.group()) and _SHORT.search(piece[-8:]))
-        last = m.end() if m else last
+        open_ = piece.endswith(".") and "\n" not in m.group() and "\r" not in m.group() and _SHORT.search(piece[-8:]) is not None
+        last = m.end()
+    if open_:
+        parts[-1] += " " + text[last:]
+    else:
+        parts.append(text[last:])
     out = []
     for p in parts:
-        w = _WORD.findall(plain(p))
-        letters = sum(x.isalpha() for x in w)
-        if letters >= 4 and letters * 2 > len(w):
-            out.append(w)
+        w = _TOKEN.findall(p)
+        if len(w) >= 4:
+            letters = sum(map(str.isalpha, w))
+            if letters >= 4 and letters * 2 > len(w):
+                out.append(w)
     return out
 
 
 def terms(words: list[str]) -> set[str]:
-    """Runs of one to three words of letters; single words of at least four letters."""
-    ok = [w.isalpha() for w in words]
-    out = {w for w, o in zip(words, ok) if o and len(w) >= 4}
-    for n in (2, 3):
-        for i in range(len(words) - n + 1):
-            if all(ok[i : i + n]):
-                out.add(" ".join(words[i : i + n]))
+    """Single words of four letters or more, and pairs of words of letters that follow each other."""
+    out = {w for w in words if len(w) >= 4 and w.isalpha()}
+    out.update(f"{a} {b}" for a, b in zip(words, words[1:]) if a.isalpha() and b.isalpha())
     return out
 
 
@@ -139,24 +145,57 @@ def from_examples(examples: Iterable[tuple[str, str]]) -> Lexicon:
     return calibrated(weights, rows)
 
 
+def count_terms(found: Iterable[list[str]], lex: Lexicon) -> pd.DataFrame:
+    """(termine, area, n) over some sentences: in how many of each area a term stands; the term '' counts sentences.
+
+    Words are numbered, and pairs of numbers counted in arrays.
+    """
+    number: dict[str, int] = {}
+    areas: dict[str, int] = {NONE: 0}
+    ids: list[int] = []
+    ends: list[int] = []
+    labels: list[list[int]] = []
+    for w in found:
+        ids += [number.setdefault(x, len(number)) for x in w]
+        ends.append(len(ids))
+        labels.append([areas.setdefault(a, len(areas)) for a in lex.label(w) or [NONE]])
+    if not ids:
+        return pd.DataFrame({"termine": ["" for _ in range(0)], "area": ["" for _ in range(0)], "n": np.empty(0, np.int64)})
+    names = np.array(list(number), object)
+    alpha = np.array([x.isalpha() for x in number])
+    long = np.array([len(x) >= 4 for x in number]) & alpha
+    of = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
+    word = np.array(ids, np.int64)
+    v = len(number) + 1
+    pair = (of[1:] == of[:-1]) & alpha[word[1:]] & alpha[word[:-1]]
+    single = long[word]
+    term = np.concatenate((word[single] * v, word[:-1][pair] * v + word[1:][pair] + 1))
+    where = np.concatenate((of[single], of[1:][pair]))
+    order = np.lexsort((term, where))
+    term, where = term[order], where[order]
+    first = np.ones(len(term), bool)
+    first[1:] = (term[1:] != term[:-1]) | (where[1:] != where[:-1])
+    term, where = term[first], where[first]
+    many = np.array([len(x) for x in labels])
+    flat = np.array([a for x in labels for a in x], np.int64)
+    begin = np.concatenate(([0], np.cumsum(many)[:-1]))
+    reps = many[where]
+    at = np.repeat(begin[where] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
+    both, n = np.unique(np.repeat(term, reps) * len(areas) + flat[at], return_counts=True)
+    t, a = both // len(areas), both % len(areas)
+    x, y = t // v, t % v
+    text = names[x] + np.where(y > 0, " " + names[np.maximum(y - 1, 0)], "")
+    table = pd.DataFrame({"termine": text, "area": np.array(list(areas), object)[a], "n": n})
+    return pd.concat([table, pd.DataFrame({"termine": [""], "area": [NONE], "n": [len(ends)]})])
+
+
 def _term_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """(termine, area, n): in how many sentences of an area each term stands; '' is no area, the term '' counts sentences."""
     shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[tuple[str, str]] = Counter()
-        flush = lambda: pd.DataFrame([(t, a, n) for (t, a), n in held.items()], columns=["termine", "area", "n"])
         for b in batches:
-            for text in b["text"]:
-                for w in sentences(text):
-                    areas = shared.value.label(w) or [NONE]
-                    for a in areas:
-                        held.update((t, a) for t in terms(w))
-                    held["", NONE] += 1
-                if len(held) > HELD:
-                    yield flush()
-                    held.clear()
-        yield flush()
+            yield count_terms((s for t in b["text"] for s in sentences(t)), shared.value)
 
     return docs.select("text").mapInPandas(run, "termine string, area string, n long").groupBy("termine", "area").agg(F.sum("n").alias("n"))
 
