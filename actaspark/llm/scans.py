@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actaspark.storage import materialise
 
-#: Lines at the top and bottom that count as a page's edge, pages on either side they are compared with, least likeness, least letters.
-TOP, BOTTOM, REACH, LIKE, LETTERS = 3, 4, 2, 0.86, 8
+#: Lines at the top and bottom, page numbers aside, that count as a page's edge, pages on either side they are compared with, least likeness, least letters.
+TOP, BOTTOM, REACH, LIKE, LETTERS = 1, 1, 2, 0.86, 8
 #: Characters as read and what may have stood there; fixed values from common misreadings.
 MISREAD = (
     ("l", "i"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("2", "z"), ("8", "b"), ("6", "b"), ("9", "g"), ("c", "e"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u"),
@@ -35,7 +35,7 @@ KNOWN, RARER = 4, 20
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
 _LABELLED = re.compile(r"(?:p[aà]g(?:ina)?|foglio|p)\.?\s*(?:n\.?\s*)?([0-9ilo]{1,4})(?:\s*(?:di|/|su)\s*[0-9ilo]{1,4})?\.?")
 _FRAMED = re.compile(r"[-–—~*\[(]\s*([0-9ilo]{1,4})\s*[-–—~*\])]")
-_OF = re.compile(r"([0-9ilo]{1,4})\s*(?:/|di|su)\s*([0-9ilo]{1,4})\.?")
+_OF = re.compile(r"([0-9ilo]{1,3})\s*(?:/|di|su)\s*([0-9ilo]{1,3})\.?")
 _BARE = re.compile(r"([0-9]{1,4}|[lo0-9]{1,4}|[ivx]{1,5})\.?")
 _TAIL = re.compile(r"[\s\-–—|,.]*(?:p[aà]g(?:ina)?\.?|foglio)?\s*(?:n\.)?\s*[0-9lIO]{1,4}(?:\s*(?:di|/)\s*[0-9lIO]{1,4})?\s*[-–—.]*$")
 _FOLD = str.maketrans("105289áéíóúàèìòùlyqfcb", "loszbgaeiouaeiouivgteh")
@@ -58,7 +58,7 @@ def page_number(line: str, numero: int) -> bool:
             return True
     m = _OF.fullmatch(t)
     if m:
-        return _digits(m.group(1)) <= _digits(m.group(2))
+        return numero == _digits(m.group(1)) <= _digits(m.group(2))
     m = _BARE.fullmatch(t)
     if not m:
         return False
@@ -71,11 +71,15 @@ def page_number(line: str, numero: int) -> bool:
     return False
 
 
+def edge_fold(line: str) -> str:
+    """Lower case with common misreadings folded into one form."""
+    t = unicodedata.normalize("NFC", line.lower()).translate(_FOLD)
+    return t.replace("rn", "m").replace("ri", "n").replace("ii", "u").replace("cl", "d")
+
+
 def edge_key(line: str) -> str:
-    """What is compared of an edge line: its letters without a page number at the end, common misreadings folded."""
-    t = _TAIL.sub("", line.strip()) or line
-    t = unicodedata.normalize("NFC", t.lower()).translate(_FOLD)
-    t = t.replace("rn", "m").replace("ri", "n").replace("ii", "u").replace("cl", "d")
+    """What is compared of an edge line: its letters without a page number at the end, folded."""
+    t = edge_fold(_TAIL.sub("", line.strip()) or line)
     return "".join(c for c in t if c.isalpha())
 
 
@@ -98,12 +102,24 @@ def same_line(a: str, b: str) -> bool:
     return m.real_quick_ratio() >= LIKE and m.quick_ratio() >= LIKE and m.ratio() >= LIKE
 
 
-def flags(text: str | None, numero: int, near: list[str]) -> list[tuple[int, str]]:
-    """(riga, difetto) of headers, footers and page numbers, given the edge keys of near pages."""
+def names_act(line: str, number: str | None, title: str | None) -> bool:
+    """Whether a line states the act's number and words of its title, as a running header does; for acts that have one page with a header."""
+    digits = re.match(r"\s*0*(\d+)", number or "")
+    if not digits or not title or len(line) > 140 or digits.group(1) not in re.findall(r"\d+", line):
+        return False
+    words = lambda s: {w for w in re.split(r"[^a-z]+", edge_fold(s)) if len(w) >= 2}
+    return len(words(line) & words(title)) >= 2
+
+
+def flags(text: str | None, numero: int, near: list[str], number: str | None = None, title: str | None = None) -> list[tuple[int, str]]:
+    """(riga, difetto) of headers, footers and page numbers, given the edge keys of near pages, the act's number and title."""
     if not text:
         return []
     known = set(near)
     out = [(i, "intestazione") for i, k in edge_lines(text, numero) if k in known or any(same_line(k, x) for x in known)]
+    if numero > 1 and not out:
+        lines = text.split("\n")
+        out = [(i, "intestazione") for i, _ in edge_lines(text, numero) if names_act(lines[i - 1], number, title)]
     full = [(i, s) for i, s in enumerate(text.split("\n"), 1) if s.strip()]
     taken = {i for i, _ in out}
     rest = [(i, s) for i, s in full if i not in taken]
@@ -113,7 +129,7 @@ def flags(text: str | None, numero: int, near: list[str]) -> list[tuple[int, str
     return sorted(out)
 
 
-def flagged(pages: DataFrame) -> DataFrame:
+def flagged(pages: DataFrame, acts: DataFrame) -> DataFrame:
     """pages with ``segni``: array of (riga, difetto)."""
     p = pages.select(F.col("atto_id").cast("long").alias("atto_id"), F.col("numero").cast("int").alias("numero"), "testo", "fonte")
 
@@ -131,10 +147,12 @@ def flagged(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            marks = [[{"riga": i, "difetto": d} for i, d in flags(t, n, list(v) if v is not None else [])] for t, n, v in zip(b["testo"], b["numero"], b["vicine"])]
-            yield b.drop(columns="vicine").assign(segni=marks)
+            marks = [[{"riga": i, "difetto": d} for i, d in flags(t, n, list(v) if v is not None else [], x, o)] for t, n, v, x, o in zip(b["testo"], b["numero"], b["vicine"], b["numero_atto"], b["titolo"])]
+            yield b.drop(columns=["vicine", "numero_atto", "titolo"]).assign(segni=marks)
 
-    return p.join(near, ["atto_id", "numero"], "left").mapInPandas(run, "atto_id long, numero int, testo string, fonte string, segni array<struct<riga:int,difetto:string>>")
+    titles = acts.select(F.col("id").cast("long").alias("atto_id"), F.col("numero").alias("numero_atto"), F.col("oggetto").alias("titolo")).dropDuplicates(["atto_id"])
+    p = p.join(titles, "atto_id", "left")
+    return p.join(near, ["atto_id", "numero"], "left").select("atto_id", "numero", "testo", "fonte", "vicine", "numero_atto", "titolo").mapInPandas(run, "atto_id long, numero int, testo string, fonte string, segni array<struct<riga:int,difetto:string>>")
 
 
 def _strip(w: Column) -> Column:
@@ -232,7 +250,7 @@ def corrections(suspects: DataFrame, words: DataFrame) -> DataFrame:
 def _suspects(words: DataFrame) -> DataFrame:
     """Words of scanned pages that native texts lack, or have far less often, and that are mostly letters."""
     letters = F.length(F.regexp_replace("parola", r"[^\p{L}]", ""))
-    return words.where((F.col("letta") > 0) & (F.col("nativa") * 4 <= F.col("letta")) & (letters * 2 > F.length("parola")) & (F.length("parola") <= 32))
+    return words.where((F.col("letta") > 0) & (F.col("nativa") * 4 <= F.col("letta")) & (letters * 2 > F.length("parola")) & F.length("parola").between(4, 32))
 
 
 def _date(w: Column) -> Column:
@@ -260,7 +278,7 @@ def _split(cuts: DataFrame, words: DataFrame) -> DataFrame:
 
 def analyse(pages: DataFrame, acts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Flagged pages, cut words with their forms, word corrections, and misread words by place."""
-    marked = materialise(flagged(pages), "pages")
+    marked = materialise(flagged(pages, acts), "pages")
     lines = line_table(marked)
     tokens = materialise(_tokens(lines), "tokens")
     words = materialise(vocabulary(acts.select("id", "testo_estratto"), pages, tokens), "words")
