@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from actaspark.operators import profile, schema_drift
+from actaspark.plans import marts
 from actaspark.tables import load
 
 QUERIES = {
+    **marts.QUERIES,
     "p2_found": lambda s, d: profile.found(load(s, d, "atti")),
     "p2_profile": lambda s, d: profile.profile(load(s, d, "atti")),
     "p2_loads": lambda s, d: profile.profile_by_load(load(s, d, "atti")),
     "p3_found": lambda s, d: schema_drift.found(load(s, d, "anac_file"), load(s, d, "anac_righe")),
     "p3_unified": lambda s, d: schema_drift.unified(load(s, d, "anac_file"), load(s, d, "anac_righe")),
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**marts.SQL}
