@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from actaspark.functions import spans
 from actaspark.operators import profile, schema_drift
 from actaspark.plans import marts
+from actaspark.sources import html, pages
+from actaspark.streaming import feeds
 from actaspark.tables import load
 
 QUERIES = {
     **marts.QUERIES,
+    "event_windows": lambda s, d: feeds.tumbling(load(s, d, "events"), "ts", "event_type"),
+    "event_sessions": lambda s, d: feeds.sessions(load(s, d, "events"), "ts", "user_id"),
+    "text_pages": lambda s, d: pages.split_pages(load(s, d, "atti", "id", "testo_estratto"), "id", "testo_estratto"),
+    "markup_stripped": lambda s, d: load(s, d, "documents", "doc_id", "text").where("text like '%<%'").select("doc_id", html.strip_tags(F.col("text")).alias("testo")),
+    "entity_spans": lambda s, d: spans.extract(load(s, d, "atti", "id", "testo_estratto"), "id", "testo_estratto"),
     "p2_found": lambda s, d: profile.found(load(s, d, "atti")),
     "p2_profile": lambda s, d: profile.profile(load(s, d, "atti")),
     "p2_loads": lambda s, d: profile.profile_by_load(load(s, d, "atti")),
     "p3_found": lambda s, d: schema_drift.found(load(s, d, "anac_file"), load(s, d, "anac_righe")),
     "p3_unified": lambda s, d: schema_drift.unified(load(s, d, "anac_file"), load(s, d, "anac_righe")),
 }
-SQL: dict[str, str] = {**marts.SQL}
+_GOOD_DATE = "CASE WHEN regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AND NOT starts_with({0}, '0000') THEN TRY_CAST({0} AS DATE) END"
+SQL: dict[str, str] = {
+    **marts.SQL,
+    "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS dal, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS somma FROM events GROUP BY 1, 2",
+    "event_sessions": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS k FROM events), b AS (SELECT user_id, ts, sum(k) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM a) SELECT min(ts) AS dal, user_id, count(*) AS n FROM b GROUP BY user_id, g",
+    "text_pages": "WITH p AS (SELECT id, generate_subscripts(x, 1) AS numero, unnest(x) AS testo FROM (SELECT id, string_split(testo_estratto, chr(12)) AS x FROM atti WHERE testo_estratto IS NOT NULL)) SELECT id, CAST(numero AS INTEGER) AS numero, testo, CAST(coalesce(sum(length(testo) + 1) OVER (PARTITION BY id ORDER BY numero ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS offset_inizio, CAST(coalesce(sum(length(testo) + 1) OVER (PARTITION BY id ORDER BY numero ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(testo) AS INTEGER) AS offset_fine FROM p",
+    "p2_found": f"""
+WITH a AS (SELECT id, substr(data_accesso, 1, 10) AS carico, data_atto, importo_euro, cig, {_GOOD_DATE.format("data_atto")} AS g, {_GOOD_DATE.format("substr(data_accesso, 1, 10)")} AS giorno FROM atti),
+v AS (
+  SELECT id, carico, 'data_atto' AS campo, data_atto IS NULL AS vuoto, data_atto AS valore, CASE WHEN data_atto IS NULL THEN NULL WHEN g IS NULL THEN 'formato' WHEN g < DATE '1990-01-01' OR g > giorno THEN 'intervallo' END AS difetto, CAST(giorno - g AS DOUBLE) AS x FROM a
+  UNION ALL SELECT id, carico, 'importo_euro', importo_euro IS NULL, NULL, CASE WHEN importo_euro IS NULL THEN NULL WHEN isnan(importo_euro) THEN 'formato' WHEN importo_euro < 0 OR importo_euro > 100000000 THEN 'intervallo' END, importo_euro FROM a
+  UNION ALL SELECT id, carico, 'cig', cig IS NULL, cig, CASE WHEN cig IS NULL THEN NULL WHEN NOT regexp_full_match(cig, '[A-Z0-9]{{10}}') OR cig = repeat(substr(cig, 1, 1), 10) THEN 'formato' END, NULL FROM a),
+t AS (SELECT campo, avg(CAST(vuoto AS INTEGER)) AS q, median(x) FILTER (NOT vuoto AND difetto IS NULL) AS m FROM v GROUP BY 1),
+c AS (SELECT carico, campo, max(n) AS top FROM (SELECT carico, campo, valore, count(*) AS n FROM v WHERE NOT vuoto AND difetto IS NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+l AS (SELECT carico, campo, count(*) AS n, avg(CAST(vuoto AS INTEGER)) AS q, median(x) FILTER (NOT vuoto AND difetto IS NULL) AS m, count(*) FILTER (NOT vuoto AND difetto IS NULL) AS buoni FROM v WHERE carico IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT 'riga' AS ambito, CAST(id AS VARCHAR) AS chiave, campo, difetto FROM v WHERE difetto IS NOT NULL
+UNION ALL SELECT 'carico', l.carico, l.campo, 'nulli' FROM l JOIN t USING (campo) WHERE l.q - t.q > 0.25
+UNION ALL SELECT 'carico', l.carico, l.campo, 'spostamento' FROM l JOIN t USING (campo) LEFT JOIN c ON c.carico = l.carico AND c.campo = l.campo
+WHERE (l.campo = 'data_atto' AND abs(l.m - t.m) > 180) OR (l.campo = 'importo_euro' AND (l.m * 8 < t.m OR l.m > t.m * 8)) OR (l.campo = 'cig' AND c.top * 4 > l.buoni AND c.top >= 5)""",
+}
