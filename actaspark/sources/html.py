@@ -41,7 +41,8 @@ def labelled(pages: DataFrame, html: str, fields: Mapping[str, Sequence[str]], l
     norm = lambda x: F.lower(F.rtrim(F.coalesce(strip_tags(x), F.lit("")), F.lit(" :")))
     pairs = F.arrays_zip(F.transform(F.regexp_extract_all(html, F.lit(label), 1), norm).alias("k"), F.transform(F.regexp_extract_all(html, F.lit(value), 1), strip_tags).alias("v"))
     d = pages.withColumn("_pairs", F.coalesce(pairs, F.array().cast("array<struct<k:string,v:string>>")))
-    one = lambda names: F.coalesce(*[F.get(F.filter("_pairs", lambda p, n=n: p["k"] == n.lower()), F.lit(0))["v"] for n in names])
+    under = lambda name: F.get(F.filter("_pairs", lambda p: p["k"] == name.lower()), F.lit(0))["v"]
+    one = lambda names: F.coalesce(*[under(n) for n in names])
     return d.select(*keep, *[one(names).alias(f) for f, names in fields.items()])
 
 
