@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from actaspark.llm import areas, boilerplate, leakage, names, scans, tokenizer
+from actaspark.llm import areas, boilerplate, leakage, names, pii, scans, tokenizer
 from actaspark.tables import load
 
 QUERIES = {
@@ -14,6 +14,8 @@ QUERIES = {
     "p9_composition": lambda s, d: areas.composition(load(s, d, "documents"), load(s, d, "esempi_area")),
     "p4_found": lambda s, d: scans.found(load(s, d, "paginatesto"), load(s, d, "atti")),
     "p4_text": lambda s, d: scans.repaired(load(s, d, "paginatesto"), load(s, d, "atti")),
+    "p5_found": lambda s, d: pii.found(load(s, d, "atti")),
+    "p5_masked": lambda s, d: pii.masked(load(s, d, "atti")),
     "p6_found": lambda s, d: names.link(load(s, d, "anac_sample"), load(s, d, "enti")),
     "p7_ids": lambda s, d: tokenizer.encode(load(s, d, "documents")),
     "p7_round_trip": lambda s, d: tokenizer.round_trip(load(s, d, "documents")),
