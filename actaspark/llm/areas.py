@@ -22,50 +22,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from actaspark.llm.words import plain
-from actaspark.storage import materialise
+from actaspark.storage import materialise, spread
 
 #: Fixed value of the check: the share of sentences.
 SHARE = 0.2
-#: Least support of a term as a share of all sentences (so there are at most so many terms as its inverse times the terms of a sentence),
+#: Least support of a term as a share of all documents (so there are at most so many terms as its inverse times the terms of a document),
 #: examples used at most per area (a documented bound of the fit).
-SUPPORT, EXAMPLES = 1 / 20_000, 2_000
+SUPPORT, EXAMPLES, CHUNK = 1 / 20_000, 2_000, 500
 #: Least share of one area among a term's labelled sentences, and among all its sentences.
 PURITY, LABELLED = 0.9, 0.4
 NONE = ""
 _BLOCK = re.compile(r"<(?:br|/?p|/?div|/?li|/?h\d|/?tr|/?td)\b[^<>]{0,100}>", re.IGNORECASE)
 _END = re.compile(r"(?<=[.!?;])\s+(?=[a-z\"'(])|[\n\r\v\f]+")
-_SHORT = re.compile(r"(?:^|[\s(])(?:n|nr|prot|art|artt|dott|sig|avv|ing|geom|arch|prof|pag|cap|lett|cfr|es|ecc|sigg|on|rag|mr|mrs|dr|no|sec|ch|par)\.$")
+_SHORT = tuple(f" {x}." for x in "n nr prot art artt dott sig avv ing geom arch prof pag cap lett cfr es ecc sigg on rag mr mrs dr no sec ch par".split())
 _TOKEN = re.compile(r"[^\W_]+")
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence."""
+    """The words of each sentence. A full stop after an abbreviation ends none."""
     if not text:
         return []
     if "<" in text:
         text = _BLOCK.sub("\n", text)
-    text = plain(text)
-    parts: list[str] = []
-    last, open_ = 0, False
-    for m in _END.finditer(text):
-        piece = text[last : m.start()]
-        if open_:
-            parts[-1] += " " + piece
-        else:
-            parts.append(piece)
-        open_ = piece.endswith(".") and "\n" not in m.group() and "\r" not in m.group() and _SHORT.search(piece[-8:]) is not None
-        last = m.end()
-    if open_:
-        parts[-1] += " " + text[last:]
-    else:
-        parts.append(text[last:])
     out = []
-    for p in parts:
+    held = ""
+    for p in _END.split(plain(text)):
+        if held:
+            p, held = f"{held} {p}", ""
+        if p.endswith(_SHORT):
+            held = p
+            continue
         w = _TOKEN.findall(p)
         if len(w) >= 4:
             letters = sum(map(str.isalpha, w))
             if letters >= 4 and letters * 2 > len(w):
                 out.append(w)
+    if held:
+        w = _TOKEN.findall(held)
+        if sum(map(str.isalpha, w)) >= 4:
+            out.append(w)
     return out
 
 
@@ -100,17 +95,20 @@ class Lexicon:
 
     def scores(self, words: list[str]) -> dict[str, float]:
         """Weight of each area's terms by the square root of the number of words."""
-        out: dict[str, float] = defaultdict(float)
-        if self.weights and words:
-            for _, (area, w) in self.automaton().iter(f" {' '.join(words)} "):
-                out[area] += w
-        n = math.sqrt(max(len(words), 1))
+        if not self.weights or not words:
+            return {}
+        out: dict[str, float] = {}
+        for _, (area, w) in self.automaton().iter(f" {' '.join(words)} "):
+            out[area] = out.get(area, 0.0) + w
+        n = math.sqrt(len(words))
         return {a: s / n for a, s in out.items()}
 
     def label(self, words: list[str]) -> list[str]:
         """The areas above the threshold that have at least half the best area's score."""
         s = self.scores(words)
-        best = max(s.values(), default=0.0)
+        if len(s) < 2:
+            return [a for a, x in s.items() if x > self.threshold]
+        best = max(s.values())
         return sorted(a for a, x in s.items() if x > self.threshold and x * 2 >= best)
 
     def areas(self, text: str | None) -> tuple[dict[str, int], int]:
@@ -145,20 +143,25 @@ def from_examples(examples: Iterable[tuple[str, str]]) -> Lexicon:
     return calibrated(weights, rows)
 
 
-def count_terms(found: Iterable[list[str]], lex: Lexicon) -> pd.DataFrame:
-    """(termine, area, n) over some sentences: in how many of each area a term stands; the term '' counts sentences.
+def count_terms(docs: Iterable[list[list[str]]], lex: Lexicon) -> pd.DataFrame:
+    """(termine, area, n) over the sentences of some documents: in how many documents a term stands in a sentence of an area.
 
-    Words are numbered, and pairs of numbers counted in arrays.
+    The term '' counts documents. So a document that repeats itself counts once. Words are numbered, and pairs of numbers counted in arrays.
     """
     number: dict[str, int] = {}
     areas: dict[str, int] = {NONE: 0}
     ids: list[int] = []
     ends: list[int] = []
     labels: list[list[int]] = []
-    for w in found:
-        ids += [number.setdefault(x, len(number)) for x in w]
-        ends.append(len(ids))
-        labels.append([areas.setdefault(a, len(areas)) for a in lex.label(w) or [NONE]])
+    owners: list[int] = []
+    many_docs = 0
+    for d in docs:
+        many_docs += bool(d)
+        for w in d:
+            ids += [number.setdefault(x, len(number)) for x in w]
+            ends.append(len(ids))
+            owners.append(many_docs)
+            labels.append([areas.setdefault(a, len(areas)) for a in lex.label(w) or [NONE]])
     if not ids:
         return pd.DataFrame({"termine": ["" for _ in range(0)], "area": ["" for _ in range(0)], "n": np.empty(0, np.int64)})
     names = np.array(list(number), object)
@@ -171,31 +174,31 @@ def count_terms(found: Iterable[list[str]], lex: Lexicon) -> pd.DataFrame:
     single = long[word]
     term = np.concatenate((word[single] * v, word[:-1][pair] * v + word[1:][pair] + 1))
     where = np.concatenate((of[single], of[1:][pair]))
-    order = np.lexsort((term, where))
-    term, where = term[order], where[order]
-    first = np.ones(len(term), bool)
-    first[1:] = (term[1:] != term[:-1]) | (where[1:] != where[:-1])
-    term, where = term[first], where[first]
     many = np.array([len(x) for x in labels])
     flat = np.array([a for x in labels for a in x], np.int64)
     begin = np.concatenate(([0], np.cumsum(many)[:-1]))
     reps = many[where]
     at = np.repeat(begin[where] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
-    both, n = np.unique(np.repeat(term, reps) * len(areas) + flat[at], return_counts=True)
+    span = v * v * len(areas)
+    once = np.sort(np.array(owners, np.int64)[np.repeat(where, reps)] * span + np.repeat(term, reps) * len(areas) + flat[at])
+    both = np.sort(once[np.diff(once, prepend=-1) != 0] % span)
+    first = np.flatnonzero(np.diff(both, prepend=-1) != 0)
+    both, n = both[first], np.diff(np.append(first, len(both)))
     t, a = both // len(areas), both % len(areas)
     x, y = t // v, t % v
     text = names[x] + np.where(y > 0, " " + names[np.maximum(y - 1, 0)], "")
     table = pd.DataFrame({"termine": text, "area": np.array(list(areas), object)[a], "n": n})
-    return pd.concat([table, pd.DataFrame({"termine": [""], "area": [NONE], "n": [len(ends)]})])
+    return pd.concat([table, pd.DataFrame({"termine": [""], "area": [NONE], "n": [many_docs]})])
 
 
 def _term_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """(termine, area, n): in how many sentences of an area each term stands; '' is no area, the term '' counts sentences."""
+    """(termine, area, n): in how many documents each term stands in a sentence of an area; '' is no area, the term '' counts documents."""
     shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield count_terms((s for t in b["text"] for s in sentences(t)), shared.value)
+            for i in range(0, len(b), CHUNK):
+                yield count_terms(map(sentences, b["text"][i : i + CHUNK]), shared.value)
 
     return docs.select("text").mapInPandas(run, "termine string, area string, n long").groupBy("termine", "area").agg(F.sum("n").alias("n"))
 
@@ -214,7 +217,7 @@ def lexicon(docs: DataFrame, examples: DataFrame) -> Lexicon:
     some = F.col("area") != NONE
     t = counts.where("termine <> ''").groupBy("termine").agg(F.sum("n").alias("n"), F.sum(F.when(some, F.col("n"))).alias("k"), F.max(F.when(some, F.struct("n", "area"))).alias("best"))
     t = t.where((F.col("n") >= least) & (F.col("best.n") >= PURITY * F.col("k")) & (F.col("best.n") >= LABELLED * F.col("n")))
-    # at most 75 / SUPPORT rows, by the least support; some thousands in practice
+    # bounded by the least support; some thousands in practice
     weights = {r["termine"]: (r["best"]["area"], r["best"]["n"] / r["k"] * math.log1p(total / r["n"])) for r in t.collect()}
     if not weights:  # a corpus too small to weigh anything
         return first
@@ -223,7 +226,7 @@ def lexicon(docs: DataFrame, examples: DataFrame) -> Lexicon:
 
 def assign(docs: DataFrame, examples: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, area, frasi, totale): every area that at least a fifth of the document's sentences deal with."""
-    d = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    d = spread(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon(d, examples))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
