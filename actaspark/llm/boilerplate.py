@@ -18,7 +18,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from actaspark.storage import materialise, small_enough
+from actaspark.storage import materialise, small_enough, spread
 
 #: Fixed values of the check: letters of a line, documents, share of the source's documents.
 LETTERS, DOCUMENTS, SHARE = 20, 4, 10
@@ -35,7 +35,8 @@ def line_keys(text: Column) -> Column:
 
 def keyed(docs: DataFrame, doc: str, source: str, text: str) -> DataFrame:
     d = docs.where(F.col(text).isNotNull())
-    return materialise(d.select(F.col(doc).alias("_doc"), F.col(source).alias("_source"), line_keys(F.col(text)).alias("_keys")), "lines")
+    d = spread(d.select(F.col(doc).alias("_doc"), F.col(source).alias("_source"), F.col(text).alias("_text")))
+    return materialise(d.select("_doc", "_source", line_keys(F.col("_text")).alias("_keys")), "lines")
 
 
 def nodes(keys: DataFrame) -> DataFrame:

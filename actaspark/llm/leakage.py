@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from actaspark.llm.words import words
+from actaspark.storage import spread
 
 #: Fixed values of the check: words of a passage, one edit in so many words. K: words of a shingle.
 LEAST, EDIT, K = 45, 10, 5
@@ -229,7 +230,7 @@ def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int,
 def join(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id) of every document that contains a passage of the item."""
     spark = docs.sparkSession
-    d = docs.where(F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    d = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")))
     out = spark.createDataFrame([], "doc_id long, item_id long")
     for block in _blocks(items, item, item_text):
         index = Index(block)

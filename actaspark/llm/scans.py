@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from actaspark.storage import materialise
+from actaspark.storage import materialise, spread
 
 #: Lines at the top and bottom, page numbers aside, that count as a page's edge, pages on either side they are compared with, least likeness, least letters.
 TOP, BOTTOM, REACH, LIKE, LETTERS = 1, 1, 2, 0.86, 8
@@ -203,7 +203,7 @@ def _cuts(lines: DataFrame) -> DataFrame:
 def vocabulary(acts: DataFrame, pages: DataFrame, tokens: DataFrame) -> DataFrame:
     """(parola, nativa, letta): texts in which a word stands, native ones and scanned pages. Words hold a letter."""
     native = acts.where(F.col("testo_estratto").isNotNull()).select(F.col("id").alias("atto_id"), "testo_estratto")
-    native = native.join(pages.select("atto_id").distinct(), "atto_id", "left_anti")
+    native = spread(native).join(pages.select("atto_id").distinct(), "atto_id", "left_anti")
     words = F.array_distinct(F.transform(F.split("testo_estratto", r"[\s ]+"), _strip))
     n = native.select(F.explode(words).alias("parola"), F.lit(1).alias("nativa"))
     t = tokens.select("parola", F.when(F.col("fonte") == "nativo", 1).otherwise(0).alias("nativa"))

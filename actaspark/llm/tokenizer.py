@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from actaspark.storage import spread
+
 VOCABULARY = os.environ.get("ACTASPARK_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: The fixed pattern that splits text before merges; part of the vocabulary's definition.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -224,7 +226,7 @@ def encode(docs: DataFrame, doc: str = "doc_id", text: str = "text", path: str =
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [e.encode(t) for t in b["text"]]})
 
-    d = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    d = spread(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")))
     return d.mapInPandas(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
