@@ -33,8 +33,8 @@ SUPPORT, EXAMPLES, CHUNK = 1 / 20_000, 2_000, 500
 PURITY, LABELLED = 0.9, 0.4
 NONE = ""
 _BLOCK = re.compile(r"<(?:br|/?p|/?div|/?li|/?h\d|/?tr|/?td)\b[^<>]{0,100}>", re.IGNORECASE)
-_END = re.compile(r"(?<=[.!?;])\s+(?=[a-z\"'(])|[\n\r\v\f]+")
-_SHORT = tuple(f" {x}." for x in "n nr prot art artt dott sig avv ing geom arch prof pag cap lett cfr es ecc sigg on rag mr mrs dr no sec ch par".split())
+_END = re.compile(r"[.!?;]\s+(?=[a-z\"'(])|[\n\r\v\f]+")
+_SHORT = tuple(f" {x}" for x in "n nr prot art artt dott sig avv ing geom arch prof pag cap lett cfr es ecc sigg on rag mr mrs dr no sec ch par".split())
 _TOKEN = re.compile(r"[^\W_]+")
 
 
