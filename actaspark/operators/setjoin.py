@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from actaspark.operators.rank import top
 from actaspark.storage import materialise
 
 
@@ -76,7 +77,7 @@ def greedy_leaders(pairs: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def round_robin(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
-    """The first rows taken in turn from each group, groups in order of their first row."""
-    w = Window.partitionBy(group)
-    d = df.withColumn("_r", F.row_number().over(w.orderBy(order))).withColumn("_g", F.min(order).over(w))
-    return d.orderBy("_r", "_g", order).limit(limit).drop("_r", "_g")
+    """The first rows taken in turn from each group, groups in order of their first row. No group needs more than ``limit`` rows."""
+    few = top(df, [group], [F.col(order)], limit, "_r")
+    d = few.withColumn("_g", F.min(order).over(Window.partitionBy(group)))
+    return d.orderBy("_r", "_g", order).limit(limit).select(*df.columns)

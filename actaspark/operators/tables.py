@@ -4,25 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+def _by_key(df: DataFrame, key: Sequence[str], best: DataFrame, how: str) -> DataFrame:
+    """Joins rows with one row per key (``_k0``...), nulls equal; a hot key is split by AQE, as the other side has one row."""
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same &= df[k].eqNullSafe(best[f"_k{i}"])
+    return df.join(best, same, how)
+
+
+def _best(df: DataFrame, key: Sequence[str], value: Column) -> DataFrame:
+    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(value.alias("_best"))
 
 
 def first_write(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """The first row of each key. Null key parts are values like others."""
-    best = df.groupBy(*key).agg(F.min(order).alias("_first"))
-    same = [df[k].eqNullSafe(best[k]) for k in key]
-    cond = same[0]
-    for s in same[1:]:
-        cond &= s
-    return df.join(best, cond & (df[order] == best["_first"]), "left_semi")
+    """The first row of each key. Null key parts are values like others; order must leave no ties."""
+    return _by_key(df, key, _best(df, key, F.min(order)), "inner").where(F.col(order) == F.col("_best")).select(*df.columns)
 
 
 def insert_new(existing: DataFrame, incoming: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """incoming with ``esito``: inserito for the first row of a key that existing lacks, else duplicato."""
-    w = Window.partitionBy(*key).orderBy(order)
-    known = existing.select(*key).distinct().withColumn("_known", F.lit(True))
-    d = incoming.withColumn("_n", F.row_number().over(w)).join(known, list(key), "left")
-    return d.withColumn("esito", F.when(F.col("_known").isNull() & (F.col("_n") == 1), "inserito").otherwise("duplicato")).drop("_n", "_known")
+    """incoming with ``esito``: inserito for the first row of a key that existing lacks, else duplicato. Null key parts are values like others."""
+    known = existing.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(key)]).distinct().withColumn("_known", F.lit(True))
+    best = _best(incoming, key, F.min(order))
+    same = F.lit(True)
+    for i in range(len(key)):
+        same &= best[f"_k{i}"].eqNullSafe(known[f"_e{i}"])
+    best = best.join(known, same, "left").select(*best.columns, "_known")
+    new = F.col("_known").isNull() & (F.col(order) == F.col("_best"))
+    return _by_key(incoming, key, best, "inner").select(*incoming.columns, F.when(new, "inserito").otherwise("duplicato").alias("esito"))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, overwrite: Sequence[str]) -> DataFrame:
@@ -43,15 +54,17 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, overwrite: Sequen
 
 
 def last_write(df: DataFrame, key: Sequence, order: str) -> DataFrame:
-    """The last row of each key (columns or expressions)."""
-    names = [f"_k{i}" for i in range(len(key))]
-    d = df.withColumns({n: k if not isinstance(k, str) else F.col(k) for n, k in zip(names, key)})
-    w = Window.partitionBy(*names).orderBy(F.desc(order))
-    return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", *names)
+    """The last row of each key (columns or expressions). Null key parts are values like others; order must leave no ties."""
+    names = [f"_x{i}" for i in range(len(key))]
+    d = df.withColumns({n: k if isinstance(k, Column) else F.col(k) for n, k in zip(names, key)})
+    return _by_key(d, names, _best(d, names, F.max(order)), "inner").where(F.col(order) == F.col("_best")).select(*df.columns)
 
 
 def stop_on_known(df: DataFrame, source: str, order: str, known: str, run: int = 20) -> DataFrame:
-    """The rows a reader sees that stops after ``run`` known rows in a row; that last row included."""
+    """The rows a reader sees that stops after ``run`` known rows in a row; that last row included.
+
+    A source is read in order, so its rows are ordered in one task, which spills; of them only source, order and mark are needed.
+    """
     w = Window.partitionBy(source).orderBy(order)
     d = df.withColumn("_new", F.sum(F.when(F.col(known), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     island = Window.partitionBy(source, "_new").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

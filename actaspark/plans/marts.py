@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from actaspark.functions import text as X
-from actaspark.operators import setjoin, tables as TB
-from actaspark.storage import materialise, small_enough
+from actaspark.operators import rank, setjoin, tables as TB
+from actaspark.storage import materialise
 from actaspark.tables import load
 
 #: Bodies of fewer inhabitants are masked; rows of a top list; fixed values.
@@ -25,8 +25,9 @@ def _acts(s: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def global_counts(s: SparkSession, d: str) -> DataFrame:
-    count = lambda t, c: load(s, d, t).agg(F.count(F.lit(1)).alias(c))
-    return count("enti", "enti").join(count("atti", "atti"), how="cross").join(count("red_flags", "segnali"), how="cross")  # three single rows
+    each = lambda t: load(s, d, t).select(F.lit(t).alias("t"))
+    all_ = each("enti").unionByName(each("atti")).unionByName(each("red_flags"))
+    return all_.agg(*[F.count_if(F.col("t") == t).alias(c) for t, c in (("enti", "enti"), ("atti", "atti"), ("red_flags", "segnali"))])
 
 
 def acts_by_body(s: SparkSession, d: str) -> DataFrame:
@@ -36,8 +37,8 @@ def acts_by_body(s: SparkSession, d: str) -> DataFrame:
 def act_order(s: SparkSession, d: str) -> DataFrame:
     """The place of each act among its body's, latest first; acts without a date come last."""
     a = load(s, d, "atti", "id", "ente_id", "data_atto", "data_accesso").join(load(s, d, "enti").select(F.col("id").alias("ente_id")), "ente_id")
-    w = Window.partitionBy("ente_id").orderBy(F.col("data_atto").desc_nulls_last(), F.col("data_accesso").desc_nulls_last(), "id")
-    return a.select("ente_id", "id", F.row_number().over(w).alias("posto"))
+    order = [F.col("data_atto").desc_nulls_last(), F.col("data_accesso").desc_nulls_last(), F.col("id")]
+    return rank.row_number(a, ["ente_id"], order, "posto").select("ente_id", "id", "posto")
 
 
 def flag_overview(s: SparkSession, d: str) -> DataFrame:
@@ -75,8 +76,9 @@ def procedure_overview(s: SparkSession, d: str) -> DataFrame:
 
 def act_timeline(s: SparkSession, d: str) -> DataFrame:
     a = _acts(s, d, "cig").where("cig is not null and cig <> ''")
-    w = Window.partitionBy("cig").orderBy(F.col("giorno").asc_nulls_last(), "id")
-    return a.select("cig", "id", "giorno", F.row_number().over(w).alias("posto"), F.datediff("giorno", F.lag("giorno").over(w)).alias("giorni"))
+    n = materialise(rank.row_number(a.select("cig", "id", "giorno"), ["cig"], [F.col("giorno").asc_nulls_last(), F.col("id")], "posto"), "timeline")
+    before = n.select("cig", (F.col("posto") + 1).alias("posto"), F.col("giorno").alias("ieri"))
+    return n.join(before, ["cig", "posto"], "left").select("cig", "id", "giorno", "posto", F.datediff("giorno", "ieri").alias("giorni"))
 
 
 def coverage(s: SparkSession, d: str) -> DataFrame:
@@ -147,8 +149,7 @@ def share_by_year(s: SparkSession, d: str) -> DataFrame:
 def share_samples(s: SparkSession, d: str) -> DataFrame:
     """The five latest acts that are no tender of each body and year (top k per group)."""
     a = _acts(s, d, "tipo").where("giorno is not null and lower(tipo) <> 'bando'").withColumn("anno", F.year("giorno"))
-    w = Window.partitionBy("ente_id", "anno").orderBy(F.desc("giorno"), "id")
-    return a.withColumn("posto", F.row_number().over(w)).where(F.col("posto") <= TOP).select("ente_id", "anno", "posto", "id")
+    return rank.top(a.select("ente_id", "anno", "giorno", "id"), ["ente_id", "anno"], [F.desc("giorno"), F.col("id")], TOP, "posto").select("ente_id", "anno", "posto", "id")
 
 
 def windows_90d(s: SparkSession, d: str) -> DataFrame:
@@ -236,8 +237,8 @@ def replaced_flags(s: SparkSession, d: str) -> DataFrame:
 def read_until_known(s: SparkSession, d: str) -> DataFrame:
     """Rows seen per body by a reader that stops after three rows in a row whose url an earlier row has."""
     a = load(s, d, "atti", "id", "ente_id", "url_fonte")
-    w = Window.partitionBy("ente_id", "url_fonte").orderBy("id")
-    a = a.withColumn("noto", F.row_number().over(w) > 1)
+    first = TB.first_write(a, ["ente_id", "url_fonte"], "id").select(F.col("id").alias("primo"))
+    a = a.join(first, a["id"] == first["primo"], "left").withColumn("noto", F.col("primo").isNull())
     return TB.stop_on_known(a, "ente_id", "id", "noto", 3).groupBy("ente_id").agg(F.count(F.lit(1)).alias("viste"), F.max("id").alias("ultima"))
 
 
