@@ -55,3 +55,19 @@ def test_stop_on_known(spark):
 def test_round_robin(spark):
     d = spark.createDataFrame([("b", 1), ("b", 2), ("a", 3), ("b", 4), ("c", 5), ("a", 6)], "g string, i long")
     assert [r["i"] for r in setjoin.round_robin(d, "g", "i", 5).collect()] == [1, 3, 5, 2, 6]
+
+
+def test_rank_matches_plain_order(spark):
+    from actaspark.operators import rank
+
+    r = random.Random(8)
+    data = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([None, 1, 2, 3])) for i in range(300)]
+    d = spark.createDataFrame(data, "i long, g string, v int").repartition(6)
+    order = [F.col("v").desc_nulls_last(), F.col("i")]
+    want = {}
+    for g in ("a", "b", None):
+        for n, (i, *_) in enumerate(sorted((x for x in data if x[1] == g), key=lambda x: (x[2] is None, -(x[2] or 0), x[0])), 1):
+            want[i] = n
+    assert {x["i"]: x["n"] for x in rank.row_number(d, ["g"], order, "n").collect()} == want
+    assert {x["i"]: x["n"] for x in rank.top(d, ["g"], order, 3, "n").collect()} == {i: n for i, n in want.items() if n <= 3}
+    assert rank.row_number(d.limit(0), ["g"], order, "n").count() == 0
