@@ -27,7 +27,7 @@ TOP, BOTTOM, REACH, LIKE, LETTERS = 1, 1, 2, 0.86, 8
 #: Characters as read and what may have stood there; fixed values from common misreadings.
 MISREAD = (
     ("l", "i"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("2", "z"), ("8", "b"), ("6", "b"), ("9", "g"), ("c", "e"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u"),
-    ("á", "à"), ("é", "è"), ("í", "ì"), ("ó", "ò"), ("ú", "ù"), ("f", "t"), ("l", "t"), ("ri", "n"), ("rn", "m"), ("m", "rn"), ("ii", "u"), ("q", "g"), ("y", "v"), ("b", "h"), ("d", "cl"), ("cl", "d"), ("vv", "w"), ("h", "b"), ("e", "c"), ("t", "f"), ("i", "l"), ("n", "ri"), ("li", "h"), ("in", "m"), ("nn", "m"),
+    ("á", "à"), ("é", "è"), ("í", "ì"), ("ó", "ò"), ("ú", "ù"), ("f", "t"), ("l", "t"), ("ri", "n"), ("rn", "m"), ("m", "rn"), ("ii", "u"), ("q", "g"), ("y", "v"), ("b", "h"), ("d", "cl"), ("cl", "d"), ("vv", "w"), ("h", "b"), ("e", "c"), ("t", "f"), ("i", "l"), ("n", "ri"),
 )
 HYPHENS = "-­¬‐="
 #: Native occurrences that make a word a possible reading; how much rarer a misreading must be than it in native text.
@@ -131,7 +131,7 @@ def flags(text: str | None, numero: int, near: list[str], number: str | None = N
 
 def flagged(pages: DataFrame, acts: DataFrame) -> DataFrame:
     """pages with ``segni``: array of (riga, difetto)."""
-    p = pages.select(F.col("atto_id").cast("long").alias("atto_id"), F.col("numero").cast("int").alias("numero"), "testo", "fonte")
+    p = spread(pages.select(F.col("atto_id").cast("long").alias("atto_id"), F.col("numero").cast("int").alias("numero"), "testo", "fonte"))
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -211,39 +211,56 @@ def vocabulary(acts: DataFrame, pages: DataFrame, tokens: DataFrame) -> DataFram
     return both.groupBy("parola").agg(F.sum("nativa").alias("nativa"), (F.count(F.lit(1)) - F.sum("nativa")).alias("letta"))
 
 
-def readings(word: str, most: int = 2, limit: int = 4_000) -> dict[str, int]:
-    """What may have stood for a word as read, with the number of misreadings."""
-    out = {word: 0}
-    layer = [word]
-    digits = sum(c.isdigit() for c in word)
-    for k in range(1, max(most, min(digits, 4)) + 1):
-        nxt = []
-        for w in layer:
-            for seen, right in MISREAD:
-                i = w.find(seen)
-                while i >= 0:
-                    c = w[:i] + right + w[i + len(seen) :]
-                    if c not in out and len(out) < limit:
-                        out[c] = k
-                        nxt.append(c)
-                    i = w.find(seen, i + 1)
-        layer = nxt
-    del out[word]
-    return {w: k for w, k in out.items() if not any(c.isdigit() for c in w)}
+#: Letters that a misreading turns into each other have one fold; those read as two letters fold to these two's folds.
+_ONE = ("iltfj10oóò5s2zecéèàáaùúíìyvgq9bh68", "LLLLLLooooSSzzeeeeaaauuLLvvgggbbbb")
+_TWO = (("u", "LL"), ("m", "rrL"), ("n", "rL"), ("d", "eL"), ("w", "vv"))
+
+
+def fold(c: Column) -> Column:
+    """One form for all words that misreadings turn into each other."""
+    c = F.translate(F.lower(c), *_ONE)
+    for k, v in _TWO:
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return c
+
+
+def misreadings(seen: str, right: str, most: int) -> int | None:
+    """The least number of misreadings by which right is read as seen; null if there are more than most, or other differences."""
+    last: dict[tuple[int, int], int] = {(0, 0): 0}
+    goal = (len(seen), len(right))
+    best = None
+    while last:
+        new: dict[tuple[int, int], int] = {}
+        for (i, j), k in last.items():
+            if (i, j) == goal:
+                best = k if best is None else min(best, k)
+                continue
+            steps = [(i + 1, j + 1, k)] if i < goal[0] and j < goal[1] and seen[i] == right[j] else []
+            if k < most:
+                steps += [(i + len(a), j + len(b), k + 1) for a, b in MISREAD if seen.startswith(a, i) and right.startswith(b, j)]
+            for x, y, z in steps:
+                if z < new.get((x, y), most + 1):
+                    new[x, y] = z
+        last = new
+    return best
 
 
 def corrections(suspects: DataFrame, words: DataFrame) -> DataFrame:
-    """(parola, giusta): the reading of fewest misreadings, then of most native texts, among known words."""
+    """(parola, giusta): the reading of fewest misreadings, then of most native texts, among known words.
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Words meet by their fold, so no readings are spelled out; two misreadings at most, beside digits.
+    """
+    known = words.where((F.col("nativa") >= KNOWN) & ~F.col("parola").rlike("[0-9]")).select(F.col("parola").alias("giusta"), F.col("nativa").alias("n"), fold(F.col("parola")).alias("piega"))
+    s = suspects.select("parola", F.col("nativa").alias("propria"), fold(F.col("parola")).alias("piega"))
+    pairs = s.join(known, "piega").where((F.col("propria") * RARER <= F.col("n")) & (F.col("giusta") != F.col("parola"))).select("parola", "giusta", "n")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, n, c, k) for w, n in zip(b["parola"], b["nativa"]) for c, k in readings(w).items()]
-            yield pd.DataFrame(rows, columns=["parola", "propria", "giusta", "k"]).astype({"parola": "str", "giusta": "str", "propria": "int64", "k": "int32"})
+            rows = [(w, c, n, k) for w, c, n in zip(b["parola"], b["giusta"], b["n"]) if (k := misreadings(w, c, 2 + sum(x.isdigit() for x in w))) is not None]
+            yield pd.DataFrame(rows, columns=["parola", "giusta", "n", "k"]).astype({"parola": "str", "giusta": "str", "n": "int64", "k": "int32"})
 
-    e = suspects.select("parola", "nativa").mapInPandas(expand, "parola string, propria long, giusta string, k int")
-    known = words.where((F.col("nativa") >= KNOWN) & ~F.col("parola").rlike("[0-9]")).select(F.col("parola").alias("giusta"), "nativa")
-    ok = e.join(known, "giusta").where(F.col("propria") * RARER <= F.col("nativa"))
-    best = ok.groupBy("parola").agg(F.min(F.struct("k", (-F.col("nativa")).alias("n"), "giusta")).alias("b"))
+    ok = pairs.mapInPandas(verify, "parola string, giusta string, n long, k int")
+    best = ok.groupBy("parola").agg(F.min(F.struct("k", (-F.col("n")).alias("n"), "giusta")).alias("b"))
     return best.select("parola", F.col("b.giusta").alias("giusta"))
 
 
