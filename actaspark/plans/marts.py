@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from actaspark.functions import text as X
 from actaspark.operators import rank, setjoin, tables as TB
-from actaspark.storage import materialise
+from actaspark.storage import materialise, spread
 from actaspark.tables import load
 
 #: Bodies of fewer inhabitants are masked; rows of a top list; fixed values.
@@ -169,7 +169,7 @@ def short_intervals(s: SparkSession, d: str) -> DataFrame:
 
 
 def role_classification(s: SparkSession, d: str) -> DataFrame:
-    a = load(s, d, "atti", "id", "tipo", "oggetto", "testo_estratto")
+    a = spread(load(s, d, "atti", "id", "tipo", "oggetto", "testo_estratto"))
     return a.select("id", X.role(F.col("oggetto"), F.col("tipo"), F.col("testo_estratto")).alias("ruolo"))
 
 
@@ -199,7 +199,7 @@ def extract_dates(s: SparkSession, d: str) -> DataFrame:
 
 def extract_amounts(s: SparkSession, d: str) -> DataFrame:
     """Amounts with the euro sign before them: number and largest."""
-    a = load(s, d, "atti", "id", "testo_estratto").where("testo_estratto is not null")
+    a = spread(load(s, d, "atti", "id", "testo_estratto").where("testo_estratto is not null"))
     e = a.select("id", F.explode(F.regexp_extract_all("testo_estratto", F.lit(r"€ ?([0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{2})"), 1)).alias("t"))
     return e.groupBy("id").agg(F.count(F.lit(1)).alias("importi"), F.max(X.italian_amount(F.col("t"))).cast("decimal(18,2)").alias("massimo"))
 
