@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from actaspark.operators.tables import insert_new
@@ -29,7 +29,7 @@ class IdempotentSink:
     def table(self, spark: SparkSession, schema, but: int | None = None) -> DataFrame:
         """What was written so far, without one batch."""
         try:
-            d = spark.read.schema(schema.add("lotto", "long") if "lotto" not in schema.names else schema).parquet(self.path)
+            d = spark.read.schema(T.StructType([*schema.fields, T.StructField("lotto", T.LongType())])).parquet(self.path)
         except Exception:  # nothing written yet
             return spark.createDataFrame([], schema)
         if but is not None:
