@@ -1,10 +1,12 @@
 """Evaluation passages inside training documents: a prefix-filtered join on word shingles, verified exactly.
 
 A document contains ``LEAST`` or more consecutive words of an item with at most one in ten changed, added or dropped. One edit breaks
-at most ``K`` shingles of K words, so of the 41 shingles of some window of 45 item words at least 21 stand in the
-document. Ordering a window's shingles by rarity in the corpus, one of its 21 rarest must match: only these prefix
-shingles are looked up, and a pair that shares one is bounded (21 matches within one window, near one diagonal) and then
-verified by alignment over item-sized windows.
+at most ``K`` shingles of K words. A run of 90 words or more parts into two of 45 or more, one of which keeps the bound,
+and a run can be shortened to the least length that allows its edits; so some window of 45, 50, 60, 70 or 80 item words has at
+most 4, 5, 6, 7 or 8 edits (``RUNS``), and of its n - 4 shingles all but 5 for each edit stand in the document. Ordering a window's
+shingles by rarity in the corpus, one of the 5 for each edit and one more that are rarest must match: only these prefix shingles are looked
+up, and a pair that shares one is bounded (enough matches within a window of one of the lengths, near one diagonal) and
+then verified by alignment over item-sized windows.
 
 The items are a stated query set and are taken in blocks of bounded size, each sent to the workers as one
 index; the corpus is scanned twice per block (rarity, join) and never shuffled. Results stay narrow.
@@ -26,9 +28,10 @@ from actaspark.storage import spread
 
 #: Fixed values of the check: words of a passage, one edit in so many words. K: words of a shingle.
 LEAST, EDIT, K = 45, 10, 5
-#: Matches that a window of LEAST words must share, and items of one block (about 100 words each, so some 50 MB of index).
-WINDOW = LEAST - K + 1
-SHARED = WINDOW - K * (LEAST // EDIT)
+#: (shingles of a window, those that stand in the document) for the run lengths one of which every case has, and the least of the latter.
+RUNS = tuple((n - K + 1, n - K + 1 - K * (n // EDIT)) for n in (LEAST, *range(-(-(LEAST + 1) // EDIT) * EDIT, 2 * LEAST, EDIT)))
+SHARED = min(s for _, s in RUNS)
+#: Items of one block (about 100 words each, so some 50 MB of index).
 BLOCK = 20_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,11 +92,11 @@ class Index:
         return k[hit], at[hit]
 
     def set_prefix(self, frequency: np.ndarray) -> None:
-        """Keeps, of every window of an item, the SHARED-from-the-end rarest shingles (ties by hash)."""
+        """Keeps, of every window of an item, so many of the rarest shingles that not all can be missing (ties by hash)."""
+        by_rank = np.lexsort((self.keys, frequency))
         rank = np.empty(len(self.keys), np.int64)
-        rank[np.lexsort((self.keys, frequency))] = np.arange(len(self.keys))
+        rank[by_rank] = np.arange(len(self.keys))
         self.prefix[:] = False
-        take = WINDOW - SHARED + 1
         key_of = np.searchsorted(self.keys, self.h)
         by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, o, p in zip(key_of, self.o, self.p):
@@ -101,9 +104,10 @@ class Index:
         for entries in by_item.values():
             entries.sort()
             ks = np.array([k for _, k in entries])
-            for s in range(max(1, len(ks) - WINDOW + 1)):
-                w = ks[s : s + WINDOW]
-                self.prefix[w[np.argsort(rank[w], kind="stable")[:take]]] = True
+            for window, shared in RUNS:
+                if len(ks) >= window:
+                    ranks = np.sort(np.lib.stride_tricks.sliding_window_view(rank[ks], window), axis=1)
+                    self.prefix[by_rank[ranks[:, : window - shared + 1]]] = True
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """(item number, diagonal) of pairs within the bounds, one for each band of diagonals."""
@@ -138,7 +142,7 @@ class Index:
                 if b - 1 in done or b + 1 in done:
                     continue
                 q = np.unique(p[np.abs(band - b) <= 1])
-                if len(q) >= SHARED and (np.searchsorted(q, q + WINDOW) - np.arange(len(q))).max() >= SHARED:
+                if len(q) >= SHARED and any((np.searchsorted(q, q + window) - np.arange(len(q))).max() >= shared for window, shared in RUNS):
                     done.add(b)
                     yield o, b * width + width // 2
 

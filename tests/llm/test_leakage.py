@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from actaspark.llm import leakage as L
 from actaspark.llm.words import words
 
@@ -64,5 +66,27 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert {tuple(x) for x in L.join(d, q).collect()} == whole == {(n, i) for n, (i, _) in enumerate(items)}
 
 
+def test_edits_in_the_middle():
+    """Runs of 50 words and more without a window of 45 words and at most 4 edits; against contains() over the whole document."""
+    r = random.Random(7)
+    runs = [(60, [15, 20, 25, 30, 35, 40]), (50, [9, 17, 25, 33, 41])]
+    runs += [(n, sorted(r.sample(range(n // 6, n - n // 6), n // 10))) for n in (45, 49, 50, 55, 60, 70, 80, 89, 90, 120) for _ in range(12)]
+    runs += [(n, sorted(r.sample(range(n // 6, n - n // 6), n // 10 + 2))) for n in (50, 60, 80) for _ in range(6)]  # too many
+    met = 0
+    for n, at in runs:
+        w, other = [f"w{r.randint(0, 10**9)}" for _ in range(n)], lambda k: [f"altro{r.randint(0, 400)}" for _ in range(k)]
+        doc = list(w)
+        for x in reversed(at):
+            op = "c" if (n, at) in runs[:2] else r.choice("ccad")
+            doc[x : x + (op != "a")] = [] if op == "d" else ["cambiata"]
+        index = L.Index([(1, " ".join(w))])
+        index.set_prefix(np.array([r.randint(0, 9) for _ in index.keys]))
+        text = " ".join(other(r.randint(0, 90)) + doc + other(20))
+        want = L.contains(index.items[0][1], index.numbers(text))
+        assert index.matches(text) == ({1} if want else set()), (n, at)
+        met += want
+    assert met >= 2 + 12 * 8
+
+
 def test_words():
     assert words("L'Unità, già̀ <b>d'Italia</b> &nbsp; SARÃ\xa0") == ["l", "unita", "gia", "d", "italia", "sara"]
