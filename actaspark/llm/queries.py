@@ -13,7 +13,7 @@ QUERIES = {
     "p9_found": lambda s, d: areas.assign(load(s, d, "documents"), load(s, d, "esempi_area")).select("doc_id", "area"),
     "p9_composition": lambda s, d: areas.composition(load(s, d, "documents"), load(s, d, "esempi_area")),
     "p4_found": lambda s, d: scans.found(load(s, d, "paginatesto"), load(s, d, "atti")),
-    "p4_text": lambda s, d: scans.repaired(load(s, d, "paginatesto"), load(s, d, "atti")),
+    "p4_text": lambda s, d: scans.texts(load(s, d, "paginatesto"), load(s, d, "atti")),
     "p5_found": lambda s, d: pii.found(load(s, d, "atti")),
     "p5_masked": lambda s, d: pii.masked(load(s, d, "atti")),
     "p6_found": lambda s, d: names.link(load(s, d, "anac_sample"), load(s, d, "enti")),

@@ -315,6 +315,10 @@ def found(pages: DataFrame, acts: DataFrame) -> DataFrame:
     return edge.unionByName(cut).unionByName(bad).distinct()
 
 
+def _cased(right: str, seen: str) -> str:
+    return right.upper() if seen.isupper() and len(seen) > 1 else right.capitalize() if seen[:1].isupper() else right
+
+
 def _joined(lines: list[str], cut_forms: dict[int, str], fixes: dict[str, str]) -> str:
     """One paragraph of several lines."""
     out: list[str] = []
@@ -325,8 +329,7 @@ def _joined(lines: list[str], cut_forms: dict[int, str], fixes: dict[str, str])
             core = re.sub(r"^\W+|\W+$", "", w)
             right = fixes.get(core.lower())
             if right:
-                right = right.upper() if core.isupper() and len(core) > 1 else right.capitalize() if core[:1].isupper() else right
-                w = w.replace(core, right, 1)
+                w = w.replace(core, _cased(right, core), 1)
             words.append(w)
         if glue and words and out:
             out[-1] += words.pop(0)
@@ -369,3 +372,76 @@ def repaired(pages: DataFrame, acts: DataFrame) -> DataFrame:
 
     j = marked.select("atto_id", "numero", "testo", "segni").join(c, ["atto_id", "numero"], "left").join(x, ["atto_id", "numero"], "left")
     return j.mapInPandas(run, "atto_id long, numero int, testo string")
+
+
+_LEFT, _RIGHT, _AROUND = re.compile(rf"([^\W_]+)[{HYPHENS}]$"), re.compile(r"[^\W_]+"), re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def _whole(left: str, right: str, form: str | None, chained: bool) -> str:
+    """The word that two tokens are cut from, as its form says; without a form it keeps its hyphen. A word cut twice is only joined."""
+    if form is None:
+        return left + right
+    a, b = _LEFT.search(left), _RIGHT.match(right)
+    if not a or not b:
+        return left.rstrip(HYPHENS) + right
+    word = a[1] + b[0]
+    return left[: a.start()] + (word if chained or word.lower() == form else _cased(form, word)) + right[b.end() :]
+
+
+def assembled(pages: list[tuple[int, str | None, set[int], dict[int, str | None], dict[str, str]]]) -> str | None:
+    """One text of an act's pages in order: (numero, testo, lines to skip, forms of cut words by line, words set right).
+
+    A blank line ends a paragraph, unless a cut word goes on after it or it stands at a page's edge within a sentence. A missing page ends one, too.
+    """
+    if all(t is None for _, t, *_ in pages):
+        return None
+    paragraphs: list[list[str]] = [[]]
+    open_cut = chained = blank = edge = gap = False
+    form: str | None = None
+    last = None
+    for numero, text, skip, cuts, fixes in pages:
+        gap = gap or last is not None and numero > last + 1
+        last, edge = numero, last is not None
+        for i, s in enumerate((text or "").split("\n"), 1):
+            if i in skip:
+                continue
+            tokens = s.split()
+            if not tokens:
+                blank = True
+                continue
+            if not open_cut and paragraphs[-1] and (gap or blank and not (edge and paragraphs[-1][-1][-1] not in '.:;!?»”")')):
+                paragraphs.append([])
+            words, n = [], len(tokens)
+            for k, w in enumerate(tokens):
+                core = _AROUND.sub("", w)
+                right = None if (k == 0 and open_cut) or (k == n - 1 and i in cuts) else fixes.get(core.lower())
+                words.append(w.replace(core, _cased(right, core), 1) if right else w)
+            if open_cut:
+                paragraphs[-1][-1] = _whole(paragraphs[-1][-1], words.pop(0), form, chained)
+            paragraphs[-1] += words
+            chained = open_cut and n == 1
+            open_cut, form = i in cuts, cuts.get(i)
+            blank = edge = gap = False
+    return "\n\n".join(" ".join(p) for p in paragraphs if p)
+
+
+def texts(pages: DataFrame, acts: DataFrame) -> DataFrame:
+    """(atto_id, testo): the text of each act in continuous paragraphs over its pages, without headers, footers and page numbers, cut and misread words set right.
+
+    An act's pages come together, as its text is one value of the result.
+    """
+    marked, cuts, _, wrong = analyse(pages, acts)
+    c = cuts.groupBy("atto_id", "numero").agg(F.collect_list(F.struct("riga", "forma")).alias("tagli"))
+    x = wrong.select("atto_id", "numero", "parola", "giusta").distinct().groupBy("atto_id", "numero").agg(F.collect_list(F.struct("parola", "giusta")).alias("letture"))
+    j = marked.select("atto_id", "numero", "testo", "segni").join(c, ["atto_id", "numero"], "left").join(x, ["atto_id", "numero"], "left")
+    each = j.groupBy("atto_id").agg(F.sort_array(F.collect_list(F.struct("numero", "testo", F.col("segni.riga").alias("salta"), "tagli", "letture"))).alias("pagine"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = lambda a: [] if a is None else a
+        for b in batches:
+            out = []
+            for act in b["pagine"]:
+                out.append(assembled([(g["numero"], g["testo"], set(some(g["salta"])), {m["riga"]: m["forma"] for m in some(g["tagli"])}, {m["parola"]: m["giusta"] for m in some(g["letture"])}) for g in act]))
+            yield pd.DataFrame({"atto_id": b["atto_id"], "testo": out})
+
+    return each.mapInPandas(run, "atto_id long, testo string")

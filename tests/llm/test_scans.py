@@ -31,6 +31,26 @@ def test_repaired(spark):
     assert got[1, 2] == "tenza ampia discussione della giunta" and got[2, 1] is None and got[2, 2] == ""
 
 
+def test_texts(spark):
+    p, a = tables(spark)
+    p = p.unionByName(spark.createDataFrame([(4, 2, "tcnza della giunta\n", "ocr", "x"), (4, 1, "dopo ampia Compe-", "ocr", "x"), (4, 3, "\n approva.", "ocr", "x"), (4, 4, "\nil consiglio", "ocr", "x"), (4, 6, "la giunta", "ocr", "x")], p.schema))
+    rows = [(r["atto_id"], r["testo"]) for r in S.texts(p, a).collect()]
+    got = dict(rows)
+    assert len(rows) == len(got) == 4
+    # a word cut at the page's end, a compound, a paragraph over pages
+    assert got[1] == "il consiglio approva la graduatoria degli idonei 12/05/2024 con efficacia socio-sanitari immediata dopo competenza ampia discussione della giunta della giunta con efficacia"
+    assert got[2] == "" and got[3].split("\n\n")[0] == "III"
+    # a misread cut word, blank lines at pages' edges, a missing page
+    assert got[4] == "dopo ampia Competenza della giunta approva.\n\nil consiglio\n\nla giunta"
+
+
+def test_assembled():
+    assert S.assembled([(1, None, set(), {}, {})]) is None
+    text = "il dirigente (AMMI-\nNLSTRATORE), con dell'ammi-\nni-\nstratore\n\nsocio-\n\nsanitari. E\n\nvia"
+    cuts = {1: "amministratore", 2: "ammini", 3: "nistratore", 6: None}
+    assert S.assembled([(1, text, set(), cuts, {"ammi": "ammo"})]) == "il dirigente (AMMINISTRATORE), con dell'amministratore\n\nsocio-sanitari. E\n\nvia"
+
+
 def test_empty(spark):
     p, a = tables(spark)
     assert S.found(p.limit(0), a).count() == 0 and S.found(p, a.limit(0)).where("difetto = 'intestazione'").count() == 3
