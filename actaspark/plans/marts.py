@@ -18,6 +18,10 @@ _DAY = "CASE WHEN regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN
 _EVENT = f"coalesce({_DAY.format('data_atto')}, {_DAY.format('data_pub')})"
 
 
+#: Trigram Jaccard of like titles, and from which contradictory titles are twins; fixed values of E08.
+ALIKE, TWINS = 0.35, 0.75
+
+
 def _acts(s: SparkSession, d: str, *columns: str) -> DataFrame:
     """Acts with ``giorno``, the day they count from."""
     a = load(s, d, "atti", *{*columns, "id", "ente_id", "data_atto", "data_pub"})
@@ -274,16 +278,26 @@ def title_containment(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy("ente_id", "contenuto").agg(F.count(F.lit(1)).alias("contenitori"))
 
 
+def title_stars(a: DataFrame) -> DataFrame:
+    """(id, ente_id, capo): acts (id, ente_id, oggetto, giorno) of a body grouped under the first, by day, with a like title.
+
+    Titles are alike from a trigram Jaccard of ALIKE on; from TWINS on only if they do not contradict each other. Titles of the same words in order are one node.
+    """
+    a = a.where("oggetto is not null").withColumn("parole", F.array_join(X.tokens(F.col("oggetto")), " "))
+    c = materialise(setjoin.classes(a, "ente_id", "id", X.trigrams(F.col("oggetto"))).join(a.select("id", "parole", "giorno"), "id"), "trigrams")
+    place = F.struct(F.col("giorno").isNull().alias("n"), "giorno", "id")
+    node = materialise(c.groupBy("ente_id", "classe", "parole").agg(F.min(place).alias("posto")).withColumn("nodo", F.col("posto.id")), "nodes")
+    pairs = setjoin.jaccard_pairs(c, "ente_id", ALIKE)
+    side = lambda s_: node.select("ente_id", F.col("classe").alias(f"classe_{s_}"), F.col("nodo").alias(s_), F.split("parole", " ").alias(f"w{s_}"))
+    e = pairs.join(side("a"), ["ente_id", "classe_a"]).join(side("b"), ["ente_id", "classe_b"])
+    e = e.where((F.col("a") != F.col("b")) & ((F.col("somiglianza") < TWINS) | ~X.contradictory(F.col("wa"), F.col("wb")))).select("a", "b")
+    lead = setjoin.greedy_leaders(e, node.select("nodo", "posto"))
+    return c.join(node.select("ente_id", "classe", "parole", "nodo"), ["ente_id", "classe", "parole"]).join(lead, "nodo").select("id", "ente_id", "capo")
+
+
 def fuzzy_clusters(s: SparkSession, d: str) -> DataFrame:
-    """Procedures of a body grouped under the first with a like title (trigram Jaccard 0.75, no contradiction)."""
-    p = load(s, d, "procedimenti", "id", "ente_id", "oggetto", "data_avvio").where("oggetto is not null")
-    c = materialise(setjoin.classes(p, "ente_id", "id", X.trigrams(F.col("oggetto"))), "trigrams")
-    first = p.join(c, ["ente_id", "id"]).groupBy("ente_id", "classe").agg(F.min_by("oggetto", "id").alias("oggetto"), F.min("id").alias("nodo"))
-    pairs = setjoin.jaccard_join(c, c, "ente_id", 0.75).where("classe_a <> classe_b")
-    side = lambda s_: first.select("ente_id", F.col("classe").alias(f"classe_{s_}"), F.col("nodo").alias(s_), X.tokens(F.col("oggetto")).alias(f"w{s_}"))
-    e = pairs.join(side("a"), ["ente_id", "classe_a"]).join(side("b"), ["ente_id", "classe_b"]).where(~X.contradictory(F.col("wa"), F.col("wb"))).select("a", "b")
-    lead = setjoin.greedy_leaders(e, first.select("nodo", F.col("nodo").alias("posto")))
-    return c.join(first.select("ente_id", "classe", "nodo"), ["ente_id", "classe"]).join(lead, "nodo").select("id", "ente_id", "capo")
+    """Every act with a title under the first act of its group (E08); acts that codes or references link are not left out."""
+    return title_stars(_acts(s, d, "oggetto"))
 
 
 QUERIES: dict[str, Query] = {

@@ -3,7 +3,9 @@ import random
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from actaspark.functions import text as X
 from actaspark.operators import setjoin, tables
+from actaspark.plans import marts
 
 
 def test_linked_matches_brute_force(spark):
@@ -71,3 +73,32 @@ def test_rank_matches_plain_order(spark):
     assert {x["i"]: x["n"] for x in rank.row_number(d, ["g"], order, "n").collect()} == want
     assert {x["i"]: x["n"] for x in rank.top(d, ["g"], order, 3, "n").collect()} == {i: n for i, n in want.items() if n <= 3}
     assert rank.row_number(d.limit(0), ["g"], order, "n").count() == 0
+
+
+def test_title_stars_match_sequential(spark, monkeypatch):
+    """Against the scan of E08, with groups from 0.35 on, contradictory twins and undated acts."""
+    monkeypatch.setattr(setjoin, "TILE", 5)
+    monkeypatch.setattr(setjoin, "WIDE", 16)
+    r = random.Random(3)
+    base = ["lavori di manutenzione strade comunali", "fornitura arredi scuola media statale", "servizio mensa scolastica anno", "manutenzione straordinaria strade provinciali lotto"]
+    rows = [(i, i % 2, f"{r.choice(base)} {r.choice(['', 'lotto 101', 'lotto 202', 'centro storico', 'zona mare nord'])}", r.choice([None, *(f"2024-01-{x:02}" for x in range(1, 29))])) for i in range(60)]
+    rows += [(90, 0, None, None), (91, 0, "", "2024-01-01"), (92, None, "lavori strade", None)]
+    a = spark.createDataFrame(rows, "id long, ente_id long, oggetto string, g string").withColumn("giorno", F.to_date("g")).drop("g")
+    got = {x["id"]: x["capo"] for x in marts.title_stars(a).collect()}
+    t = {x["id"]: x for x in a.where("oggetto <> '' and ente_id is not null").select("id", "ente_id", "giorno", X.trigrams(F.col("oggetto")).alias("t"), X.tokens(F.col("oggetto")).alias("w")).collect()}
+    nums = lambda w: sorted(x for x in w if x.isdigit())
+    twins = lambda p, q: bool(nums(p) and nums(q) and nums(p) != nums(q)) or (len(p) >= 6 and len(q) >= 6 and p[-6:] != q[-6:])
+    want, low = {}, 0
+    order = sorted(t.values(), key=lambda x: (x["giorno"] is None, str(x["giorno"]), x["id"]))
+    for x in order:
+        if x["id"] in want:
+            continue
+        want[x["id"]] = x["id"]
+        for y in order:
+            if y["id"] not in want and y["ente_id"] == x["ente_id"]:
+                both = len(set(x["t"]) & set(y["t"]))
+                jac = both / (len(x["t"]) + len(y["t"]) - both)
+                if jac >= 0.35 and not (jac >= 0.75 and twins(x["w"], y["w"])):
+                    want[y["id"]] = x["id"]
+                    low += jac < 0.75
+    assert got == want and low
