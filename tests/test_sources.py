@@ -44,3 +44,10 @@ def test_spans(spark):
     assert {(k, v) for _, k, v, *_ in got} == {("atto", "determina 12/2024"), ("data", "2024-03-03"), ("norma", "241/1990"), ("norma", "art. 21-nonies 241/1990"), ("norma", "art. 5 241/1990"), ("cig", "A1B2C3D4E5"), ("importo", "1234.50"), ("firmatario", "Mario Rossi")}
     assert all(t[s:e] == o for _, _, _, o, s, e in got)
     assert spans.canonical_name("Dott. Mario L. Rossi") == spans.canonical_name("ROSSI MARIO")
+
+
+def test_act_references():
+    t = "nota 4867/2023, deliberazione della Giunta Comunale n. 55 del 18.04.2024; nota prot. n. 18443/2026 del 25-05-2026, determina dirigenziale nr. 7 / 2024, avviso 7, nota 4867/2023, annota n. 3"
+    got = list(spans.acts(t))
+    assert [v for _, v, _, _ in got] == ["nota 4867/2023", "deliberazione 55", "nota 18443/2026", "determina 7/2024", "nota 4867/2023"]
+    assert t[got[1][2] : got[1][3]].endswith("18.04.2024") and t[got[2][2] : got[2][3]].endswith("25-05-2026") and got[0][2] != got[4][2]
