@@ -12,6 +12,7 @@ text has no sentences and thus no area. Repeated documents count each.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -33,39 +34,49 @@ SUPPORT, EXAMPLES, CHUNK = 1 / 20_000, 2_000, 500
 PURITY, LABELLED = 0.9, 0.4
 NONE = ""
 _BLOCK = re.compile(r"<(?:br|/?p|/?div|/?li|/?h\d|/?tr|/?td)\b[^<>]{0,100}>", re.IGNORECASE)
-_END = re.compile(r"[.!?;]\s+(?=[a-z\"'(])|[\n\r\v\f]+")
-_SHORT = tuple(f" {x}" for x in "n nr prot art artt dott sig avv ing geom arch prof pag cap lett cfr es ecc sigg on rag mr mrs dr no sec ch par".split())
-_TOKEN = re.compile(r"[^\W_]+")
+# one class begins every end, so the search skips to it; a stop before a figure ends a sentence only after a whole word, as abbreviations and numbers go on
+_END = re.compile(r"[.!?;\n\r\v\f](?:(?<=[\n\r\v\f])[\n\r\v\f]*|(?<=[.!?;])\s+(?:(?=[a-z\"'(])|(?<=[a-z]{4}[.!?;]\s)(?=[0-9])))")
+_SHORT = frozenset("n nr prot art artt dott sig avv ing geom arch prof pag cap lett cfr es ecc sigg on rag mr mrs dr no sec ch par".split())
+_BLANKED = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum() and c != "\n"})
+_FOREIGN, _DIGIT = re.compile(r"[^\x00-\x7f]"), re.compile(r"[0-9]")
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence. A full stop after an abbreviation ends none."""
+def sentences(text: str | None) -> list[str]:
+    """Each sentence as its words with one blank between them. A full stop after an abbreviation ends none."""
     if not text:
         return []
     if "<" in text:
         text = _BLOCK.sub("\n", text)
+    text = "\n".join(_END.split(plain(text)))
+    if not text.isascii():
+        text = _FOREIGN.sub(lambda m: m.group() if m.group().isalnum() else " ", text)
     out = []
     held = ""
-    for p in _END.split(plain(text)):
+    for p in text.translate(_BLANKED).split("\n"):
         if held:
             p, held = f"{held} {p}", ""
-        if p.endswith(_SHORT):
+        w = p.split()
+        if len(w) > 1 and w[-1] in _SHORT:
             held = p
             continue
-        w = _TOKEN.findall(p)
-        if len(w) >= 4:
+        if len(w) < 4:
+            continue
+        s = " ".join(w)
+        if _DIGIT.search(s) or not s.isascii():
             letters = sum(map(str.isalpha, w))
-            if letters >= 4 and letters * 2 > len(w):
-                out.append(w)
+            if letters < 4 or letters * 2 <= len(w):
+                continue
+        out.append(s)
     if held:
-        w = _TOKEN.findall(held)
+        w = held.split()
         if sum(map(str.isalpha, w)) >= 4:
-            out.append(w)
+            out.append(" ".join(w))
     return out
 
 
-def terms(words: list[str]) -> set[str]:
+def terms(sentence: str) -> set[str]:
     """Single words of four letters or more, and pairs of words of letters that follow each other."""
+    words = sentence.split()
     out = {w for w in words if len(w) >= 4 and w.isalpha()}
     out.update(f"{a} {b}" for a, b in zip(words, words[1:]) if a.isalpha() and b.isalpha())
     return out
@@ -93,34 +104,35 @@ class Lexicon:
             self._automaton = a
         return self._automaton
 
-    def scores(self, words: list[str]) -> dict[str, float]:
+    def scores(self, sentence: str) -> dict[str, float]:
         """Weight of each area's terms by the square root of the number of words."""
-        if not self.weights or not words:
+        if not self.weights or not sentence:
             return {}
         out: dict[str, float] = {}
-        for _, (area, w) in self.automaton().iter(f" {' '.join(words)} "):
+        for _, (area, w) in self.automaton().iter(f" {sentence} "):
             out[area] = out.get(area, 0.0) + w
-        n = math.sqrt(len(words))
+        if not out:
+            return out
+        n = math.sqrt(sentence.count(" ") + 1)
         return {a: s / n for a, s in out.items()}
 
-    def label(self, words: list[str]) -> list[str]:
+    def label(self, sentence: str) -> list[str]:
         """The areas above the threshold that have at least half the best area's score."""
-        s = self.scores(words)
+        s = self.scores(sentence)
         if len(s) < 2:
             return [a for a, x in s.items() if x > self.threshold]
         best = max(s.values())
         return sorted(a for a, x in s.items() if x > self.threshold and x * 2 >= best)
 
-    def areas(self, text: str | None) -> tuple[dict[str, int], int]:
-        """Sentences per area, and sentences."""
+    def areas(self, document: list[str]) -> Counter[str]:
+        """Sentences per area."""
         found: Counter[str] = Counter()
-        all_ = sentences(text)
-        for w in all_:
-            found.update(self.label(w))
-        return found, len(all_)
+        for s in document:
+            found.update(self.label(s))
+        return found
 
 
-def calibrated(weights: dict[str, tuple[str, float]], rows: list[tuple[str, list[str]]]) -> Lexicon:
+def calibrated(weights: dict[str, tuple[str, float]], rows: list[tuple[str, str]]) -> Lexicon:
     """A lexicon whose threshold is a quarter of the score that 95 % of the examples' sentences reach for their own area."""
     lex = Lexicon(weights)
     own = sorted(lex.scores(w).get(a, 0.0) for a, w in rows)
@@ -143,12 +155,12 @@ def from_examples(examples: Iterable[tuple[str, str]]) -> Lexicon:
     return calibrated(weights, rows)
 
 
-def count_terms(docs: Iterable[list[list[str]]], lex: Lexicon) -> pd.DataFrame:
+def count_terms(docs: Iterable[list[str]], lex: Lexicon) -> pd.DataFrame:
     """(termine, area, n) over the sentences of some documents: in how many documents a term stands in a sentence of an area.
 
     The term '' counts documents. So a document that repeats itself counts once. Words are numbered, and pairs of numbers counted in arrays.
     """
-    number: dict[str, int] = {}
+    number: dict[str, int] = defaultdict(itertools.count().__next__)
     areas: dict[str, int] = {NONE: 0}
     ids: list[int] = []
     ends: list[int] = []
@@ -158,7 +170,7 @@ def count_terms(docs: Iterable[list[list[str]]], lex: Lexicon) -> pd.DataFrame:
     for d in docs:
         many_docs += bool(d)
         for w in d:
-            ids += [number.setdefault(x, len(number)) for x in w]
+            ids += map(number.__getitem__, w.split())
             ends.append(len(ids))
             owners.append(many_docs)
             labels.append([areas.setdefault(a, len(areas)) for a in lex.label(w) or [NONE]])
@@ -192,19 +204,22 @@ def count_terms(docs: Iterable[list[list[str]]], lex: Lexicon) -> pd.DataFrame:
 
 
 def _term_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """(termine, area, n): in how many documents each term stands in a sentence of an area; '' is no area, the term '' counts documents."""
+    """(termine, area, n): in how many documents each term stands in a sentence of an area; '' is no area, the term '' counts documents.
+
+    docs: frasi, a document's sentences in lines.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), CHUNK):
-                yield count_terms(map(sentences, b["text"][i : i + CHUNK]), shared.value)
+                yield count_terms((x.split("\n") for x in b["frasi"][i : i + CHUNK]), shared.value)
 
-    return docs.select("text").mapInPandas(run, "termine string, area string, n long").groupBy("termine", "area").agg(F.sum("n").alias("n"))
+    return docs.select("frasi").mapInPandas(run, "termine string, area string, n long").groupBy("termine", "area").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, examples: DataFrame) -> Lexicon:
-    """The lexicon weighted over the whole corpus."""
+    """The lexicon weighted over the whole corpus (frasi: a document's sentences in lines)."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("area").orderBy("esempio_id")
@@ -224,17 +239,32 @@ def lexicon(docs: DataFrame, examples: DataFrame) -> Lexicon:
     return calibrated(weights, [(a, w) for a, x in rows for w in sentences(x)])
 
 
+def split_once(docs: DataFrame) -> DataFrame:
+    """(doc_id, frasi): the sentences of each document (doc_id, text) in lines, written once and read by both later passes.
+
+    Documents without sentences have no area and give no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lines = ["\n".join(sentences(t)) for t in b["text"]]
+            some = [bool(x) for x in lines]
+            yield pd.DataFrame({"doc_id": b["doc_id"][some], "frasi": list(itertools.compress(lines, some))})
+
+    return materialise(docs.mapInPandas(run, "doc_id long, frasi string"), "sentences")
+
+
 def assign(docs: DataFrame, examples: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, area, frasi, totale): every area that at least a fifth of the document's sentences deal with."""
-    d = spread(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
+    d = split_once(spread(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon(d, examples))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t in zip(b["doc_id"], b["text"]):
-                found, n = shared.value.areas(t)
-                rows += [(i, a, k, n) for a, k in sorted(found.items()) if k >= SHARE * n - 1e-9]
+            for i, t in zip(b["doc_id"], b["frasi"]):
+                all_ = t.split("\n")
+                rows += [(i, a, k, len(all_)) for a, k in sorted(shared.value.areas(all_).items()) if k >= SHARE * len(all_) - 1e-9]
             yield pd.DataFrame(rows, columns=["doc_id", "area", "frasi", "totale"])
 
     return d.mapInPandas(run, "doc_id long, area string, frasi int, totale int")
