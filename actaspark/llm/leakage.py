@@ -9,7 +9,8 @@ up, and a pair that shares one is bounded (enough matches within a window of one
 then verified by alignment over item-sized windows.
 
 The items are a stated query set and are taken in blocks of bounded size, each sent to the workers as one
-index; the corpus is scanned twice per block (rarity, join) and never shuffled. Results stay narrow.
+index; the corpus is scanned once per block: what it shares with the block's items (shingles; word numbers, where a match is possible at all) is
+written, and rarity and join read that. Texts are never shuffled. Results stay narrow.
 
 Null and empty texts match nothing. Items under 45 words match nothing. Repeated documents and items count each.
 """
@@ -24,12 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from actaspark.llm.words import words
-from actaspark.storage import spread
+from actaspark.storage import materialise, spread
 
 #: Fixed values of the check: words of a passage, one edit in so many words. K: words of a shingle.
 LEAST, EDIT, K = 45, 10, 5
 #: (shingles of a window, those that stand in the document) for the run lengths one of which every case has, and the least of the latter.
-RUNS = tuple((n - K + 1, n - K + 1 - K * (n // EDIT)) for n in (LEAST, *range(-(-(LEAST + 1) // EDIT) * EDIT, 2 * LEAST, EDIT)))
+WINDOWS = (LEAST, *range(-(-(LEAST + 1) // EDIT) * EDIT, 2 * LEAST, EDIT))
+RUNS = tuple((n - K + 1, n - K + 1 - K * (n // EDIT)) for n in WINDOWS)
 SHARED = min(s for _, s in RUNS)
 #: Items of one block (about 100 words each, so some 50 MB of index).
 BLOCK = 20_000
@@ -109,9 +111,8 @@ class Index:
                     ranks = np.sort(np.lib.stride_tricks.sliding_window_view(rank[ks], window), axis=1)
                     self.prefix[by_rank[ranks[:, : window - shared + 1]]] = True
 
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item number, diagonal) of pairs within the bounds, one for each band of diagonals."""
-        k, at = self.lookup(ids)
+    def candidates(self, k: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item number, diagonal) of pairs within the bounds, one for each band of diagonals; k, at as ``lookup`` gives them."""
         if not len(k) or not self.prefix[k].any():
             return
         # every place of every item that has one of the shingles, without a loop
@@ -157,62 +158,59 @@ class Index:
                 apart = np.flatnonzero(item[i : i + n] != ids[j : j + n])
                 if np.diff(apart, prepend=-1, append=n).max() > LEAST:
                     return True
-        slack = 2 * (len(item) // EDIT + 1)
-        return contains(item, ids[max(0, diagonal - slack) : max(0, diagonal + len(item) + slack)])
+        slack = 4 * width  # of the bands that one candidate stands for
+        part = ids[max(0, diagonal - slack) : max(0, diagonal + len(item) + slack)]
+        return contains(item, part)
 
     def matches(self, text: str | None) -> set[int]:
         """The ids of the items that the text contains."""
         if not text:
             return set()
         ids = self.numbers(text)
+        return self.found(ids, *self.lookup(ids))
+
+    def found(self, ids: np.ndarray, k: np.ndarray, at: np.ndarray) -> set[int]:
         out: set[int] = set()
-        for o, d in self.candidates(ids):
+        for o, d in self.candidates(k, at):
             if self.items[o][0] not in out and self.verify(o, ids, d):
                 out.add(self.items[o][0])
         return out
 
 
 def contains(item: np.ndarray, doc: np.ndarray) -> bool:
-    """Whether a run of LEAST or more item words aligns with the document with at most one edit in EDIT words.
+    """Whether a run of LEAST or more item words stands in the document with at most one edit in EDIT words; exact, over all alignments.
 
-    The alignment is the best local one for a match of 1 and edits of -2; along it, the longest run of item words that
-    keeps the bound is taken.
+    The run's first and last word stand in the document: words missing at its ends are not words it contains. Edit distances of the runs from
+    every item place to every end in the document are followed, all places at once; a place that has more edits than its longest run allows is left.
     """
     n, m = len(item), len(doc)
-    if n < LEAST or not m:
+    if n < LEAST or m < LEAST - LEAST // EDIT:
         return False
-    score = np.zeros((n + 1, m + 1), np.int32)
-    idx = 2 * np.arange(m + 1)
-    for i in range(1, n + 1):
-        diag = score[i - 1, :-1] + np.where(doc == item[i - 1], 1, -2)
-        row = np.maximum(np.concatenate(([0], np.maximum(diag, score[i - 1, 1:] - 2))), 0)
-        score[i] = np.maximum.accumulate(row + idx) - idx  # gaps along the row
-    i, j = (int(x) for x in np.unravel_index(np.argmax(score), score.shape))
-    ops: list[tuple[int, int]] = []  # item words passed, edits
-    while i and j and score[i, j] > 0:
-        s = score[i, j]
-        same = doc[j - 1] == item[i - 1]
-        if s == score[i - 1, j - 1] + (1 if same else -2):
-            ops.append((1, 0 if same else 1))
-            i, j = i - 1, j - 1
-        elif s == score[i - 1, j] - 2:
-            ops.append((1, 1))
-            i -= 1
-        else:
-            ops.append((0, 1))
-            j -= 1
-    # longest run with words >= EDIT * edits: prefix sums, first place not above each value
-    lead: list[tuple[int, int]] = [(0, 0)]
-    total = passed = 0
-    for w, e in ops:
-        total, passed = total + w - EDIT * e, passed + w
-        for t, p in lead:
-            if t <= total:
-                if passed - p >= LEAST:
-                    return True
-                break
-        if total < lead[-1][0]:
-            lead.append((total, passed))
+    idx = np.arange(m, dtype=np.int16)
+    far = np.int16(n + 1)
+    equal = item[:, None] == doc[None, :]
+    start = np.arange(n - LEAST + 1)
+    d = np.where(equal[start], np.int16(0), far)
+    for k in range(1, n + 1):
+        if k > 1:
+            if start[-1] + k > n:
+                d, start = d[:-1], start[:-1]
+                if not len(start):
+                    return False
+            same = equal[start + k - 1]
+            new = d + np.int16(1)  # dropped
+            np.minimum(new[:, 1:], d[:, :-1] + ~same[:, 1:], out=new[:, 1:])
+            if k >= LEAST and (same[:, 1:] & (d[:, :-1] <= k // EDIT)).any():
+                return True
+            d = new
+        d -= idx  # added
+        np.minimum.accumulate(d, axis=1, out=d)
+        d += idx
+        live = d.min(1) * EDIT <= n - start
+        if not live.all():
+            d, start = d[live], start[live]
+            if not len(start):
+                return False
     return False
 
 
@@ -240,19 +238,23 @@ def join(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "te
         index = Index(block)
         shared = spark.sparkContext.broadcast(index)
 
-        def rarity(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def shared_parts(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ix = shared.value
-            n = np.zeros(len(ix.keys), np.int64)
             for b in batches:
-                for t in b["text"]:
-                    k, _ = ix.lookup(ix.numbers(t))
-                    n[np.unique(k)] += 1
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"k": at, "n": n[at]})
+                rows = []
+                for i, t in zip(b["doc_id"], b["text"]):
+                    ids = ix.numbers(t)
+                    k, at = ix.lookup(ids)
+                    if len(k):
+                        distinct = np.unique(k)
+                        # fewer shingles than any run shares: the document counts for rarity only
+                        rows.append((i, distinct, k, at, ids) if len(distinct) >= SHARED else (i, distinct, None, None, None))
+                yield pd.DataFrame(rows, columns=["doc_id", "tasselli", "k", "posto", "parole"])
 
+        parts = materialise(d.mapInPandas(shared_parts, "doc_id long, tasselli array<int>, k array<int>, posto array<int>, parole array<int>"), "leaks")
         frequency = np.zeros(len(index.keys), np.int64)
         # one row per shingle of the block
-        for r in d.select("text").mapInPandas(rarity, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
+        for r in parts.select(F.explode("tasselli").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).toPandas().itertuples(index=False):
             frequency[r.k] = r.n
         index.set_prefix(frequency)
         ready = spark.sparkContext.broadcast(index)
@@ -260,8 +262,8 @@ def join(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "te
         def match(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
             ix = ready.value
             for b in batches:
-                rows = [(i, x) for i, t in zip(b["doc_id"], b["text"]) for x in sorted(ix.matches(t))]
+                rows = [(i, x) for i, ids, k, at in zip(b["doc_id"], b["parole"], b["k"], b["posto"]) for x in sorted(ix.found(ids, k.astype(np.int64), at.astype(np.int64)))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"], dtype="int64")
 
-        out = out.unionByName(d.mapInPandas(match, "doc_id long, item_id long"))
+        out = out.unionByName(parts.where("parole is not null").select("doc_id", "parole", "k", "posto").mapInPandas(match, "doc_id long, item_id long"))
     return out
