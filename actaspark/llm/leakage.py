@@ -93,6 +93,17 @@ class Index:
         hit = self.keys[k] == h
         return k[hit], at[hit]
 
+    def _spread(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every entry of some keys, without a loop, and how many each key has."""
+        size = self.last[k] - self.first[k]
+        e = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        e += np.arange(len(e))
+        return e, size
+
+    def likely(self, distinct: np.ndarray) -> np.ndarray:
+        """Whether each item has as many places with one of the keys as the least any run shares."""
+        return np.bincount(self.o[self._spread(distinct)[0]], minlength=len(self.items)) >= SHARED
+
     def set_prefix(self, frequency: np.ndarray) -> None:
         """Keeps, of every window of an item, so many of the rarest shingles that not all can be missing (ties by hash)."""
         by_rank = np.lexsort((self.keys, frequency))
@@ -113,13 +124,20 @@ class Index:
 
     def candidates(self, k: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
         """(item number, diagonal) of pairs within the bounds, one for each band of diagonals; k, at as ``lookup`` gives them."""
-        if not len(k) or not self.prefix[k].any():
+        if not len(k):
             return
-        # every place of every item that has one of the shingles, without a loop
-        size = self.last[k] - self.first[k]
-        start = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        e = start + np.arange(len(start))
-        owner, place, here = self.o[e], self.p[e], np.repeat(at, size)
+        distinct = np.unique(k)
+        marked = self.likely(distinct)
+        if not marked.any():
+            return
+        rare = np.zeros(len(self.items), bool)
+        rare[self.o[self._spread(distinct[self.prefix[distinct]])[0]]] = True
+        marked &= rare
+        if not marked.any():
+            return
+        e, size = self._spread(k)
+        some = marked[self.o[e]]
+        owner, place, here = self.o[e[some]], self.p[e[some]], np.repeat(at, size)[some]
         # matches of an item in three neighbouring bands of diagonals, as wide as the longest item allows
         wide = self.width
         code, many = np.unique(owner * 4_000_000_000 + (here - place + 2_000_000_000) // wide, return_counts=True)
@@ -128,9 +146,7 @@ class Index:
         near[1:][follows] += many[:-1][follows]
         near[:-1][follows] += many[1:][follows]
         enough = np.unique(code[near >= SHARED] // 4_000_000_000)
-        marked = np.zeros(len(self.items), bool)
-        marked[owner[np.repeat(self.prefix[k], size)]] = True
-        for o in enough[marked[enough]].tolist():
+        for o in enough.tolist():
             mine = owner == o
             p = place[mine]
             width = len(self.items[o][1]) // EDIT + 1
@@ -150,17 +166,10 @@ class Index:
     def verify(self, o: int, ids: np.ndarray, diagonal: int) -> bool:
         """By alignment near a diagonal; a run of LEAST equal words on one diagonal is found first."""
         item = self.items[o][1]
-        width = len(item) // EDIT + 1
-        for d in range(diagonal - width, diagonal + width + 1):
-            i, j = max(0, -d), max(0, d)
-            n = min(len(item) - i, len(ids) - j)
-            if n >= LEAST:
-                apart = np.flatnonzero(item[i : i + n] != ids[j : j + n])
-                if np.diff(apart, prepend=-1, append=n).max() > LEAST:
-                    return True
-        slack = 4 * width  # of the bands that one candidate stands for
+        slack = 5 * (len(item) // EDIT + 1) // 2 + 1  # of the bands that one candidate stands for
         part = ids[max(0, diagonal - slack) : max(0, diagonal + len(item) + slack)]
-        return contains(item, part)
+        equal = item[:, None] == part[None, :]
+        return run_of(equal, LEAST) or contains(equal)
 
     def matches(self, text: str | None) -> set[int]:
         """The ids of the items that the text contains."""
@@ -177,18 +186,29 @@ class Index:
         return out
 
 
-def contains(item: np.ndarray, doc: np.ndarray) -> bool:
-    """Whether a run of LEAST or more item words stands in the document with at most one edit in EDIT words; exact, over all alignments.
+def run_of(equal: np.ndarray, length: int) -> bool:
+    """Whether so many cells in a row on a diagonal are true; by runs of powers of two, and what they lack."""
+    if min(equal.shape) < length:
+        return False
+    have, run = 1, equal
+    while have < length:
+        step = min(have, length - have)
+        run = run[:-step, :-step] & run[step:, step:]
+        have += step
+    return bool(run.any())
+
+
+def contains(equal: np.ndarray) -> bool:
+    """equal: for each item word (rows), whether it is each document word. Whether a run of LEAST or more item words stands in the document with at most one edit in EDIT words; exact, over all alignments.
 
     The run's first and last word stand in the document: words missing at its ends are not words it contains. Edit distances of the runs from
     every item place to every end in the document are followed, all places at once; a place that has more edits than its longest run allows is left.
     """
-    n, m = len(item), len(doc)
+    n, m = equal.shape
     if n < LEAST or m < LEAST - LEAST // EDIT:
         return False
     idx = np.arange(m, dtype=np.int16)
     far = np.int16(n + 1)
-    equal = item[:, None] == doc[None, :]
     start = np.arange(n - LEAST + 1)
     d = np.where(equal[start], np.int16(0), far)
     for k in range(1, n + 1):
@@ -240,21 +260,27 @@ def join(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "te
 
         def shared_parts(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ix = shared.value
+            n = np.zeros(len(ix.keys), np.int64)
+            layout = ["doc_id", "k", "posto", "parole"]
             for b in batches:
                 rows = []
                 for i, t in zip(b["doc_id"], b["text"]):
                     ids = ix.numbers(t)
                     k, at = ix.lookup(ids)
-                    if len(k):
-                        distinct = np.unique(k)
-                        # fewer shingles than any run shares: the document counts for rarity only
-                        rows.append((i, distinct, k, at, ids) if len(distinct) >= SHARED else (i, distinct, None, None, None))
-                yield pd.DataFrame(rows, columns=["doc_id", "tasselli", "k", "posto", "parole"])
+                    distinct = np.unique(k)
+                    n[distinct] += 1
+                    if len(k) and ix.likely(distinct).any():
+                        rows.append((i, k.astype(np.int32), at.astype(np.int32), ids.astype(np.int32)))
+                yield pd.DataFrame(rows, columns=layout)
+            # the partition's documents by shingle, in a row of its own
+            at = np.flatnonzero(n)
+            yield pd.DataFrame([(None, at.astype(np.int32), n[at].astype(np.int32), None)], columns=layout)
 
-        parts = materialise(d.mapInPandas(shared_parts, "doc_id long, tasselli array<int>, k array<int>, posto array<int>, parole array<int>"), "leaks")
+        parts = materialise(d.mapInPandas(shared_parts, "doc_id long, k array<int>, posto array<int>, parole array<int>"), "leaks")
         frequency = np.zeros(len(index.keys), np.int64)
+        counts = parts.where("parole is null").select(F.inline(F.arrays_zip("k", F.col("posto").alias("n"))))
         # one row per shingle of the block
-        for r in parts.select(F.explode("tasselli").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).toPandas().itertuples(index=False):
+        for r in counts.groupBy("k").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
             frequency[r.k] = r.n
         index.set_prefix(frequency)
         ready = spark.sparkContext.broadcast(index)

@@ -55,5 +55,11 @@ def plain(text: str) -> str:
     return text
 
 
+_BLANKED = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
+
+
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(plain(text)) if text else []
+    if not text:
+        return []
+    text = plain(text)
+    return text.translate(_BLANKED).split() if text.isascii() else _WORD.findall(text)
