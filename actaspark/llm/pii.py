@@ -25,7 +25,8 @@ TYPES = ("email", "telefono", "identita", "indirizzo", "nome")
 TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 #: Window and overlap in characters, margin around a mark, windows of one batch, hidden units of each direction.
 WINDOW, OVERLAP, MARGIN, BATCH, HIDDEN = 128, 48, 28, 512, 24
-ADDRESS_LENGTH = 80
+#: Characters after a kind of street that are shown to the tagger, and on either side of a proposal in which its form is looked for.
+ADDRESS_LENGTH, FORM = 80, 200
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
 SYMBOLS = "\n abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:'\"-_/@()[]+*&|°€#àèéìòùáíóú"
 _NUMBER = {c: i + 2 for i, c in enumerate(SYMBOLS)} | {"\t": 3, "\r": 2, "\f": 2, "\xa0": 3, "’": SYMBOLS.index("'") + 2}
@@ -40,12 +41,14 @@ STREETS = (
 )
 _TITLE = "|".join(w[0].upper() + w[1:] for w in STREETS.split("|"))
 _UPPER = "(?:" + STREETS.upper().replace("\\.", "\\.") + ")"
+# a street's name begins with a capital or a figure, maybe after a particle
+_ONWARD = r"(?:[Dd](?:[aei]|[Ee]|[A-Za-z]{2,5})(?:['’]|\s)\s*)?[A-Z0-9]"
 #: One character of a small set begins every mark, so the search skips to it; what may follow depends on it.
 MARKS = re.compile(
     r"[@(\[0-9A-Zvpclstb](?:(?<=@)|(?<=[(\[])\s?(?:at|AT|chiocciola|CHIOCCIOLA)\s?[)\]]"
-    r"|(?<=[0-9])(?:(?:[\s./-]{0,3}[0-9]){8}|[0-9][A-Za-z]\s?[0-9]{2}|[0-9]{4}\s?[A-Za-z]{2}\b)"
-    r"|(?<=\b[A-Z])(?:[a-zà-ù'’]+|[A-Z]+|\.)(?:\s|-)+(?:[A-Z][a-z]{2}|[A-Z]{3}|[A-Z]\.)"
-    rf"|(?<=\b[VPCLSTBvpclstb])(?<=(?=(?:{STREETS})\s+[A-Z]).)|(?<=\b[VPCLSTB])(?<=(?=(?:{_TITLE}|{_UPPER})\s+[A-Z]).))"
+    r"|(?<=[0-9])(?:(?:[\s./-]{0,3}[0-9]){8}|(?<=0)(?:[ -]?[0-9]){7}|[0-9][A-Za-z]\s?[0-9]{2}|[0-9]{4}\s?[A-Za-z]{2}\b)"
+    r"|(?<=\b[A-Z])(?:[a-zà-ù'’]+|[A-Z]+|\.)(?:\s|-)+(?:[A-Z][a-z]{2}|[A-Z]{3}|[A-Z]\.|[A-Z]['’][A-Z])"
+    rf"|(?<=\b[VPCLSTBvpclstb])(?<=(?=(?:{STREETS})\s+{_ONWARD}).)|(?<=\b[VPCLSTB])(?<=(?=(?:{_TITLE}|{_UPPER})\s+{_ONWARD}).))"
 )
 
 
@@ -111,65 +114,103 @@ class Tagger:
     def save(self, path: str = MODEL) -> None:
         np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.w.items()})
 
-    def _run(self, ids: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (T, B, H) of one direction; ids (T, B). keep collects what the gradient needs."""
+    def _run(self, ids: np.ndarray, d: str, keep: list | None = None, first: np.ndarray | None = None, state: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Hidden states (T, B, H) of one direction; ids (T, B). keep collects what the gradient needs.
+
+        first: the first column that has a character at each place (columns by length); state: what each column starts from.
+        """
         n, b = ids.shape
         hidden = self.w[f"h{d}"].shape[0]
         table, rec = self.w[f"x{d}"] + self.w[f"b{d}"], self.w[f"h{d}"]
-        out = np.empty((n, b, hidden), np.float32)
-        h, c = np.zeros((b, hidden), np.float32), np.zeros((b, hidden), np.float32)
+        out = np.zeros((n, b, hidden), np.float32)
+        h, c = state or (np.zeros((b, hidden), np.float32), np.zeros((b, hidden), np.float32))
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            g = table[ids[t]]
-            g += h @ rec
+            z = int(first[t]) if first is not None else 0
+            g = table[ids[t, z:]]
+            g += h[z:] @ rec
             a = np.abs(g)
             a += 1
             g /= a
             gates = g[:, : 3 * hidden] * np.float32(0.5)
             gates += np.float32(0.5)
             i, f, o = gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 2 * hidden :]
-            before = c
-            c = f * c
-            c += i * g[:, 3 * hidden :]
-            s = soft(c)
+            before = c[z:]
+            now = f * before
+            now += i * g[:, 3 * hidden :]
+            s = soft(now)
             if keep is not None:
-                keep.append((t, g, gates, before, c, s, h))
-            h = np.multiply(o, s, out=out[t])
+                keep.append((t, g, gates, before, now, s, h))
+            if z:
+                c[z:] = now
+                h[z:] = np.multiply(o, s, out=out[t, z:])
+            else:
+                c, h = now, np.multiply(o, s, out=out[t])
+                if first is not None:
+                    h = h.copy()
         return out
 
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """Emission scores (T, B, tags)."""
-        return self._run(ids, "f") @ self.w["of"] + self._run(ids, "b") @ self.w["ob"] + self.w["bo"]
-
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Best tags (T, B)."""
-        e = self.scores(ids)
-        n, b, k = e.shape
+    def _padded(self) -> tuple[np.ndarray, np.ndarray]:
+        """The backward states (h, c) after 0 to WINDOW padding characters, as windows were filled up in training."""
+        if not hasattr(self, "_after"):
+            table, rec = self.w["xb"] + self.w["bb"], self.w["hb"]
+            hidden = rec.shape[0]
+            hs, cs = np.zeros((WINDOW + 1, hidden), np.float32), np.zeros((WINDOW + 1, hidden), np.float32)
+            for t in range(WINDOW):
+                g = soft(table[0] + hs[t] @ rec)
+                gates = g[: 3 * hidden] * np.float32(0.5) + np.float32(0.5)
+                cs[t + 1] = gates[hidden : 2 * hidden] * cs[t] + gates[:hidden] * g[3 * hidden :]
+                hs[t + 1] = gates[2 * hidden :] * soft(cs[t + 1])
+            self._after = hs, cs
+        return self._after
+
+    def scores(self, ids: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Emission scores (T, B, tags). sizes: the columns' lengths, ascending; a column's scores do not depend on the others."""
+        if sizes is None:
+            return self._run(ids, "f") @ self.w["of"] + self._run(ids, "b") @ self.w["ob"] + self.w["bo"]
+        first = np.searchsorted(sizes, np.arange(len(ids)), side="right")
+        hs, cs = self._padded()
+        left = np.maximum(WINDOW - sizes, 0)
+        back = self._run(ids, "b", first=first, state=(hs[left], cs[left]))
+        return self._run(ids, "f", first=first) @ self.w["of"] + back @ self.w["ob"] + self.w["bo"]
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Best tags (T, B), O beyond a column's length."""
+        n, b = ids.shape
+        if sizes is None:
+            sizes = np.full(b, n)
+            e = self.scores(ids)
+        else:
+            e = self.scores(ids, sizes)
         out = np.zeros((n, b), np.int8)
         # a window in which O leads everywhere by more than transitions can turn has no case
         turn = 2 * float(np.ptp(self.w["t"]) + np.ptp(self.w["s"]))
-        open_ = np.flatnonzero((e[:, :, 1:].max(2) - e[:, :, 0]).max(0) > -turn)
-        if not len(open_):
-            return out
-        if len(open_) < b:
-            out[:, open_] = self._best(e[:, open_])
-            return out
-        return self._best(e)
+        lead = e[:, :, 1:].max(2) - e[:, :, 0]
+        lead[np.arange(n)[:, None] >= sizes] = -np.inf
+        open_ = np.flatnonzero(lead.max(0) > -turn)
+        if len(open_):
+            out[:, open_] = self._best(e[:, open_], sizes[open_])
+        return out
 
-    def _best(self, e: np.ndarray) -> np.ndarray:
+    def _best(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Viterbi; the best way into a tag is looked up again on the way back, for the tags taken only."""
         n, b, k = e.shape
-        v = e[0] + self.w["s"]
-        back = np.empty((n, b, k), np.int8)
-        across = self.w["t"].T[None]  # (1, to, from)
+        first = np.searchsorted(sizes, np.arange(n), side="right")
+        v = np.empty((n, k, b), np.float32)  # the best score of a way to each tag
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        into = self.w["t"].T  # (to, from)
+        v[0] = e[0] + self.w["s"][:, None]
         for t in range(1, n):
-            x = v[:, None, :] + across
-            best = x.argmax(2)
-            back[t] = best
-            v = np.take_along_axis(x, best[:, :, None], 2)[:, :, 0] + e[t]
-        out = np.empty((n, b), np.int8)
-        out[-1] = v.argmax(1)
+            z = int(first[t])
+            before = v[t - 1, :, z:]
+            for j in range(k):
+                np.max(before + into[j][:, None], axis=0, out=v[t, j, z:])
+            v[t, :, z:] += e[t, :, z:]
+        out = np.zeros((n, b), np.int8)
         rows = np.arange(b)
+        out[sizes - 1, rows] = v[sizes - 1, :, rows].argmax(1)
         for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t, rows, out[t]]
+            z = int(first[t])
+            out[t - 1, z:] = (v[t - 1, :, z:] + into[out[t, z:]].T).argmax(0)
         return out
 
 
@@ -202,7 +243,7 @@ def propose(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]
         ids = np.zeros((part[-1][0], len(part)), np.int16)
         for j, (size, n, s, e, _) in enumerate(part):
             ids[:size, j] = coded[n][s:e]
-        tags = tagger.decode(ids)
+        tags = tagger.decode(ids, np.array([p[0] for p in part]))
         some = np.flatnonzero(tags.any(0))
         for j in some.tolist():
             size, n, s, e, cut = part[j]
@@ -227,7 +268,8 @@ PHONE = re.compile(r"(?<![\w/.,+-])(?:(?:\+|00)[ ]?39(?:[ ./-]|[ ]?\n)?)?(?:3\d{
 TAX_CODE = re.compile(r"(?<!\w)[A-Z]{3}\s?[A-Z]{3}\s?[0-9LMNPQRSTUVO]{2}[ABCDEHLMPRST][0-9LMNPQRSTUVO]{2}\s?[A-Z][0-9LMNPQRSTUVO]{3}[A-Z](?!\w)", re.IGNORECASE)
 CARD = re.compile(r"(?<!\w)C[A-Z]\s?\d{5}\s?[A-Z]{2}(?!\w)", re.IGNORECASE)
 HOUSE = rf"(?:snc|s\.n\.c\.?|(?:n(?:um|r)?\s?\.?\s?°?|n°|civico|civ\.)?\s?\d{{1,4}}(?:\s?/\s?[A-Za-z](?!\w))?(?:\s(?:bis|ter|quater)\b)?(?:,?\s(?:int|scala|sc|piano|p)\.?\s?\d{{1,3}})?)"
-ADDRESS = re.compile(rf"(?<!\w)(?:{STREETS})\s+(?:(?:[^\W\d_][\w'’-]*|[A-Z]\.)\s+){{0,3}}?[^\W\d_][\w'’-]*(?:,\s*|\s+){HOUSE}(?![\w])", re.IGNORECASE)
+ADDRESS = re.compile(rf"(?<!\w)(?:{STREETS})\s+(?:\d{{1,2}}\s+(?=[A-Z]))?(?:(?:[^\W\d_][\w'’-]*|[A-Z]\.)\s+){{0,5}}?[^\W\d_][\w'’-]*(?:,\s*|\s+){HOUSE}(?![\w])", re.IGNORECASE)
+STREET = re.compile(rf"(?<!\w)(?:{STREETS})\s", re.IGNORECASE)
 _TITLES = frozenset("sig sig.ra sig.na sigg dott dott.ssa ing arch avv geom rag prof prof.ssa dr on il la lo l'avv l'ing l'arch e di f.to firmato da".split())
 NAME_WORD = re.compile(r"[A-ZÀ-Ö][\w'’À-ÿ]*(?:-\s?[A-ZÀ-Ö][\w'’À-ÿ]*)*|[A-ZÀ-Ö]\.")
 _FORMS = {0: (EMAIL,), 1: (PHONE,), 2: (TAX_CODE, CARD), 3: (ADDRESS,)}
@@ -276,11 +318,15 @@ def checked(text: str, proposed: list[tuple[int, int, int]]) -> list[tuple[int,
                 hit = _name(text, s, e)
                 best = [hit] if hit else []
             else:
-                low, high = max(0, s - 60), min(len(text), e + 60)
+                low, high = max(0, s - FORM), min(len(text), e + FORM)
                 best = []
                 for form in _FORMS[kind]:
                     # a case may begin before the margin; then the text is searched from its start of word
-                    for m in form.finditer(text, low, high):
+                    hits = list(form.finditer(text, low, high))
+                    if kind == 3:  # "corso" may precede a street: of forms within each other the one nearest to the decoded bounds counts
+                        inner = [x for m in hits for w in STREET.finditer(text, m.start() + 1, m.end()) if (x := form.match(text, w.start(), high))]
+                        hits = sorted((m for m in [*hits, *inner] if m.start() < e and m.end() > s), key=lambda m: abs(m.start() - s) + abs(m.end() - e))[:1]
+                    for m in hits:
                         if m.start() < e and m.end() > s and (form is not TAX_CODE or coded(m.group())):
                             best.append((m.start(), m.end()))
                 if kind == 1:

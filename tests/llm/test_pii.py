@@ -36,6 +36,8 @@ def test_decoding_matches_brute_force():
     m.w["t"], m.w["s"] = r.normal(0, 1, m.w["t"].shape).astype(np.float32), r.normal(0, 1, m.w["s"].shape).astype(np.float32)
     ids = r.integers(0, P.VOCABULARY, (3, 5)).astype(np.int16)
     e, got = m.scores(ids), m.decode(ids)
+    short = m.decode(ids, np.array([1, 2, 2, 3, 3]))
+    assert (short[:, 3:] == got[:, 3:]).all() and not short[1:, 0].any()
     for j in range(5):
         best = max(itertools.product(range(len(P.TAGS)), repeat=3), key=lambda p: m.w["s"][p[0]] + sum(e[t, j, p[t]] for t in range(3)) + sum(m.w["t"][p[t - 1], p[t]] for t in (1, 2)))
         assert tuple(got[:, j]) == best
@@ -94,6 +96,24 @@ class TestModel:
             hit, said, there = hit + len(g & set(c)), said + len(c), there + len(g)
         assert hit >= 0.9 * said and hit >= 0.9 * there
 
+    def test_rows_do_not_depend_on_the_batch(self):
+        """Texts alone, in other company and in another order have the same cases."""
+        r = random.Random(9)
+        texts = [t for t, _ in self.texts] + [" ".join(r.sample([x for t, _ in self.texts for x in t.split()], r.randint(5, 60))) for _ in range(120)] + [None, ""]
+        whole = P.cases(texts)
+        assert [P.cases([t])[0] for t in texts] == whole
+        order = r.sample(range(len(texts)), len(texts))
+        assert P.cases([texts[i] for i in order]) == [whole[i] for i in order]
+
+    def test_forms(self):
+        """An address takes the form nearest to the decoded bounds; long names and names with particles or figures are forms too."""
+        t = "in corso presso l'immobile di largo Salarivrale n. 185"
+        assert P.checked(t, [(30, 54, 3)]) == [(30, 54, "indirizzo")]
+        for a in ("via dei Mille 5", "piazza della Repubblica, 3", "via 4 Novembre 12", "via dei Caduti di tutte le guerre 7"):
+            assert P.checked(f"in {a}, ", [(3, 3 + len(a), 3)]) == [(3, 3 + len(a), "indirizzo")]
+        for x in ("via dei Mille 5", "tel. 06 123456", "Rosa D'Amico"):
+            assert P.segments(x)
+
     def test_masked(self, spark):
         d = spark.createDataFrame([(1, "x", self.texts[0][0]), (2, None, None)], "id long, oggetto string, testo_estratto string")
         assert {tuple(r) for r in P.masked(d).collect()} == {(1, "x", "Il responsabile del procedimento: [NOME]"), (2, None, None)}
