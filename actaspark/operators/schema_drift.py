@@ -88,9 +88,10 @@ def _features(v: Column, k: Column) -> Column:
         .when(k == "date_iso", F.concat(F.substring(v, 1, 4), F.substring(v, 6, 2)))
         .when((k == "whole") & v.rlike(r"\A(19|20)[0-9]{2}(0[1-9]|1[0-2])([0-2][0-9]|3[01])\z"), F.substring(v, 1, 6))
     )
-    words = F.transform(
-        F.array_distinct(F.slice(F.filter(F.split(F.lower(F.when(k == "object", F.regexp_replace(v, r'"[^"]*"\s*:', " ")).otherwise(v)), r"[^\p{L}]+"), lambda w: F.length(w) >= 3), 1, 64)),
-        lambda w: F.concat(F.lit("t"), F.pmod(F.xxhash64(w), F.lit(WORDS)).cast("string")),
+    plain = F.lower(F.when(k == "object", F.regexp_replace(v, r'"[^"]*"\s*:', " ")).otherwise(v))
+    # every word counts; a value has at most one feature of each bucket
+    words = F.array_distinct(
+        F.transform(F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("t"), F.pmod(F.xxhash64(w), F.lit(WORDS)).cast("string")))
     )
     code = ~v.rlike(r"\s") & k.isin("text", "whole") & month.isNull()
     shape = F.concat(F.lit("c"), F.when(bare.rlike("[0-9]"), "9").otherwise(""), F.when(bare.rlike(r"\p{L}"), "a").otherwise(""), F.least(F.length(bare), F.lit(20)).cast("string"))

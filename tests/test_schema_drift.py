@@ -55,6 +55,18 @@ def test_unified(spark):
     assert got == [("12,50", "01/02/2023", "X", "t")]
 
 
+def test_words_behind_the_first_hundreds_count(spark):
+    """Values whose first 150 words are alike are told apart by the words after them."""
+    r = random.Random(5)
+    same = " ".join(f"parola{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150))
+    tail = {"uno": ["gatto", "cane", "cavallo", "mulo"], "due": ["nave", "faro", "scoglio", "vela"]}
+    text = lambda k: same + " " + " ".join(r.choice(tail[k]) for _ in range(50))
+    lines = lambda a, b: [json.dumps({a: text("uno"), b: text("due")}) for _ in range(20)]
+    p = S.profiles(S.entries(*files(spark, [(1, "a", "jsonl", "2023-01-01", lines("uno", "due"))]))).collect()
+    a, b = ({k for k in x["sketch"] if k[0] == "t"} for x in p)
+    assert a - b and b - a
+
+
 def test_assignment_matches_brute_force():
     r = random.Random(3)
     for _ in range(60):
