@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
-#: Fixed stop words of title comparison.
-STOP = (
-    "il lo la gli le un uno una di del della dei delle dello degli da dal dalla in nel nella per con su sul sulla tra fra che "
-    "e ed o al alla ai alle art n nr"
+#: Stop words of title comparison in chains, and of reopenings; fixed values.
+STOP = "di il la le gli i un una dei delle dello della per da con su tra fra non del al e è art n nr n°".split()
+REOPENING_STOP = (
+    "e di da il la lo a an the in on at is are per su con del della dei delle anno mese giorno data n nr n. numero "
+    "provincia comune regione sicilia ente amministrazione"
 ).split()
+#: Vowels with a combining accent and their composed forms.
+_COMPOSED = {f"{v}{m}": c for m, row in (("\u0300", "àèìòù"), ("\u0301", "áéíóú")) for v, c in zip("aeiou", row)}
 
 
 def iso_date(c: Column) -> Column:
@@ -21,14 +26,22 @@ def event_date(signed: Column, published: Column) -> Column:
     return F.coalesce(iso_date(signed), iso_date(published))
 
 
-def tokens(c: Column) -> Column:
+def composed(c: Column) -> Column:
+    """Vowels with combining accents as one character each, in lower-case text."""
+    out = c
+    for k, v in _COMPOSED.items():
+        out = F.replace(out, F.lit(k), F.lit(v))
+    return F.when(c.rlike("[\u0300\u0301]"), out).otherwise(c)
+
+
+def tokens(c: Column, stop: Sequence[str] = STOP) -> Column:
     """Words of a title in order: lower case, three characters or more, without stop words. Null gives an empty array."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " "), " ")
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP))
+    words = F.split(F.regexp_replace(composed(F.lower(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}_]+", " "), " ")
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(list(stop)))
 
 
-def token_set(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(tokens(c)))
+def token_set(c: Column, stop: Sequence[str] = STOP) -> Column:
+    return F.array_sort(F.array_distinct(tokens(c, stop)))
 
 
 def trigrams(c: Column) -> Column:
@@ -66,13 +79,19 @@ def italian_amount(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\.", ""), ",", ".").try_cast("decimal(38,2)")
 
 
-#: Roles of an act by word stems, in order of precedence; fixed values.
+#: Roles of an act in order of precedence: whole words, and beginnings of phrases; fixed values.
 ROLES = (
-    ("revoca", r"(?iu)(^|[^\p{L}])revoca"), ("annullamento", r"(?iu)(^|[^\p{L}])annulla"), ("aggiudicazione", r"(?iu)(^|[^\p{L}])(aggiudica|affidament[oi]|approvazione graduatoria)"),
-    ("liquidazione", r"(?iu)(^|[^\p{L}])(liquidazione|pagamento fattura)"), ("proroga", r"(?iu)(^|[^\p{L}])(proroga|estensione (dei )?termini)"),
-    ("modifica", r"(?iu)(^|[^\p{L}])(rettifica|modifica bando|integrazione (al )?bando)"),
-    ("avvio", r"(?iu)(^|[^\p{L}])(bando|indizione|avviso pubblico|procedura (aperta|negoziata|ristretta)|concorso pubblico|manifestazione d'interesse|avviso di selezione|selezione interna|approvazione avviso)"),
+    ("revoca", "revoca revoch revoci", ()),
+    ("annullamento", "annulla annullamento annullato annullati", ()),
+    ("aggiudicazione", "aggiudica aggiudicazione aggiudicato aggiudicati affidamento affidamenti", ("approvazione graduatoria",)),
+    ("liquidazione", "liquidazione", ("pagamento fattura",)),
+    ("proroga", "proroga prorogato", ("estensione termini", "estensione dei termini")),
+    ("modifica", "rettifica rettificato", ("modifica bando", "integrazione bando", "integrazione al bando")),
+    ("avvio", "bando indizione", ("avviso pubblico", "procedura aperta", "procedura negoziata", "procedura ristretta", "concorso pubblico", "manifestazione d'interesse", "avviso di selezione", "selezione interna", "approvazione avviso")),
 )
+#: Roles by which an act derives from another; states of a chain by the first role it holds; fixed values.
+DERIVED = ("revoca", "annullamento", "modifica", "proroga")
+STATES = (("annullamento", "annullato"), ("revoca", "revocato"), ("liquidazione", "concluso"), ("aggiudicazione", "aggiudicato"), ("avvio", "in_corso"))
 SAMPLE = 2000
 
 
@@ -80,6 +99,19 @@ def role(title: Column, kind: Column, text: Column) -> Column:
     """The role of an act in its chain: the first whose stem stands in title, kind or the text's first characters."""
     s = F.concat_ws(" ", title, kind, F.substring(text, 1, SAMPLE))
     out = F.lit("altro")
-    for name, pattern in reversed(ROLES):
-        out = F.when(s.rlike(pattern), name).otherwise(out)
+    for name, words, phrases in reversed(ROLES):
+        begun = "".join("|" + p.replace(" ", r"\s+") for p in phrases)
+        out = F.when(s.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:(?:{'|'.join(words.split())})(?![\p{{L}}\p{{N}}_]){begun})"), name).otherwise(out)
+    return out
+
+
+def state(roles: Column) -> Column:
+    """The state of a chain by the roles of its acts (an array)."""
+    out = F.lit("sconosciuto")
+    for r, name in reversed(STATES):
+        out = F.when(F.array_contains(roles, r), name).otherwise(out)
     return out
+
+
+def chain_type(roles: Column) -> Column:
+    return F.when(F.array_contains(roles, "avvio"), "gara").otherwise("generico")

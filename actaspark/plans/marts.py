@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from actaspark.functions import text as X
 from actaspark.operators import rank, setjoin, tables as TB
+from actaspark.plans import chains as C
 from actaspark.storage import materialise, spread
 from actaspark.tables import load
 
@@ -147,7 +148,7 @@ def share_by_year(s: SparkSession, d: str) -> DataFrame:
     """Per body and year: acts, and those that are no tender; at least ten acts, more than four fifths."""
     a = _acts(s, d, "tipo").where("giorno is not null").groupBy("ente_id", F.year("giorno").alias("anno"))
     g = a.agg(F.count(F.lit(1)).alias("atti"), F.count_if(F.lower("tipo") != "bando").alias("diretti"))
-    return g.where((F.col("atti") >= 10) & (F.col("diretti") * 5 > F.col("atti") * 4))
+    return g.where((F.col("atti") >= 10) & (F.col("diretti") * 5 > F.col("atti") * 4)).withColumn("quota", F.bround(F.col("diretti") / F.col("atti"), 4))
 
 
 def share_samples(s: SparkSession, d: str) -> DataFrame:
@@ -177,16 +178,6 @@ def role_classification(s: SparkSession, d: str) -> DataFrame:
     return a.select("id", X.role(F.col("oggetto"), F.col("tipo"), F.col("testo_estratto")).alias("ruolo"))
 
 
-def chain_by_code(s: SparkSession, d: str) -> DataFrame:
-    """One chain per tender code: first day, last act's day, first title, body of the first act."""
-    a = _acts(s, d, "cig", "oggetto").where("cig is not null and cig <> ''")
-    k = F.struct(F.col("giorno").isNull().alias("n"), "giorno", "id")
-    g = a.groupBy("cig").agg(
-        F.count(F.lit(1)).alias("atti"), F.min_by("ente_id", k).alias("ente_id"), F.min("giorno").alias("avvio"), F.max_by("giorno", k).alias("_c"), F.min_by("oggetto", F.when(F.col("oggetto") != "", k)).alias("oggetto")
-    )
-    return g.select("cig", "atti", "ente_id", "avvio", F.when(F.col("atti") > 1, F.col("_c")).alias("chiusura"), "oggetto")
-
-
 def extract_codes(s: SparkSession, d: str) -> DataFrame:
     """Labelled tender codes in texts, one row per act and code."""
     a = load(s, d, "atti", "id", "testo_estratto").where("testo_estratto is not null")
@@ -252,30 +243,15 @@ def title_classes(s: SparkSession, d: str) -> DataFrame:
     return setjoin.linked(a, "ente_id", "id", X.token_set(F.col("oggetto")), 0.8)
 
 
-def republished(s: SparkSession, d: str) -> DataFrame:
-    """Closed procedures with later acts of the same body and a like title (range and similarity join): acts and first day."""
-    p = load(s, d, "procedimenti").where("stato_finale in ('revocato', 'annullato')").select(F.col("id").alias("procedimento_id"), "ente_id", X.iso_date(F.col("data_chiusura")).alias("chiusura"), "oggetto").where("chiusura is not null")
-    a = _acts(s, d, "oggetto").where("giorno is not null")
-    left, right = materialise(setjoin.classes(p, "ente_id", "procedimento_id", X.token_set(F.col("oggetto"))), "l"), materialise(setjoin.classes(a, "ente_id", "id", X.token_set(F.col("oggetto"))), "r")
-    pairs = setjoin.jaccard_join(left, right, "ente_id", 0.5)
-    days = right.join(a.select("id", "giorno"), "id").groupBy("ente_id", F.col("classe").alias("classe_b"), "giorno").agg(F.count(F.lit(1)).alias("n"))
-    j = pairs.join(left.join(p.select("procedimento_id", "chiusura"), "procedimento_id").select("ente_id", F.col("classe").alias("classe_a"), "procedimento_id", "chiusura"), ["ente_id", "classe_a"])
-    j = j.join(days, ["ente_id", "classe_b"]).where("giorno > chiusura")
-    return j.groupBy("procedimento_id").agg(F.sum("n").alias("atti"), F.min("giorno").alias("primo"))
-
-
 def title_containment(s: SparkSession, d: str) -> DataFrame:
-    """Titles of a body whose last words stand in another title: contained titles with the number of titles that hold them.
+    """Titles of a body whose last words (five, or half of them) stand in another title: contained titles with the number of titles that hold them.
 
-    Distinct titles only; blocked on the last five words, which a holder must have in a row.
+    Distinct titles only. Holders are counted by the hash of each run of words before they meet a title's end, so no pairs are formed.
     """
     t = load(s, d, "atti", "ente_id", "oggetto").where("oggetto is not null").distinct().withColumn("w", X.tokens(F.col("oggetto")))
-    t = materialise(t.where(F.size("w") >= 5), "titles")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
-    a = t.select("ente_id", F.col("oggetto").alias("contenuto"), F.col("w").alias("wa"), F.xxhash64(F.array_join(F.slice("w", -5, 5), " ")).alias("k"))
-    b = t.select("ente_id", F.col("oggetto").alias("contenitore"), F.col("w").alias("wb"), F.explode(runs).alias("k"))
-    j = a.join(b, ["ente_id", "k"]).where((F.col("contenuto") != F.col("contenitore")) & X.contained_run(F.col("wa"), F.col("wb")))
-    return j.groupBy("ente_id", "contenuto").agg(F.count(F.lit(1)).alias("contenitori"))
+    t = materialise(t, "titles")
+    holders = C.runs(t, ["ente_id"], C.longest_tail(t)).groupBy("ente_id", "chiave").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return C.tails(t).join(holders, ["ente_id", "chiave"]).select("ente_id", F.col("oggetto").alias("contenuto"), (F.col("n") - 1).alias("contenitori"))
 
 
 def title_stars(a: DataFrame) -> DataFrame:
@@ -305,7 +281,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         global_counts, acts_by_body, act_order, flag_overview, unflagged_bodies, masked_flags, flag_evidence, procedure_overview, act_timeline, coverage, null_rates, closed_with_acts, flags_with_source,
         round_robin_procedures, candidate_union, distinct_codes, latest_delivery, names_containing, flags_naming_subject, share_by_year, share_samples, windows_90d, short_intervals, role_classification,
-        chain_by_code, extract_codes, extract_dates, extract_amounts, cross_references, insert_outcomes, first_writes, upserted_bodies, replaced_flags, read_until_known, title_classes, republished,
+        extract_codes, extract_dates, extract_amounts, cross_references, insert_outcomes, first_writes, upserted_bodies, replaced_flags, read_until_known, title_classes,
         title_containment, fuzzy_clusters,
     )
 }
@@ -332,12 +308,11 @@ SQL: dict[str, str] = {
     "latest_delivery": "SELECT flusso, file_id, caricato_il FROM (SELECT *, row_number() OVER (PARTITION BY flusso ORDER BY caricato_il DESC, file_id DESC) AS r FROM anac_file) WHERE r = 1",
     "names_containing": r"WITH n AS (SELECT DISTINCT trim(regexp_replace(lower(denominazione_amministrazione), '[^\p{L}\p{N}]+', ' ', 'g')) AS nome FROM anac_sample), e AS (SELECT id, trim(regexp_replace(lower(denominazione), '[^\p{L}\p{N}]+', ' ', 'g')) AS intero FROM enti) SELECT nome, min(id) AS ente_id FROM n JOIN e ON contains(' ' || intero || ' ', ' ' || nome || ' ') WHERE nome <> '' GROUP BY 1",
     "flags_naming_subject": "SELECT p.id AS procedimento_id, f.id AS flag_id FROM procedimenti p JOIN red_flags f ON f.ente_id = p.ente_id AND p.oggetto <> '' AND contains(f.descrizione, substr(p.oggetto, 1, 60))",
-    "share_by_year": f"SELECT ente_id, CAST(year(giorno) AS INTEGER) AS anno, count(*) AS atti, count(*) FILTER (lower(tipo) <> 'bando') AS diretti FROM {_A} WHERE giorno IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10 AND count(*) FILTER (lower(tipo) <> 'bando') * 5 > count(*) * 4",
+    "share_by_year": f"SELECT ente_id, CAST(year(giorno) AS INTEGER) AS anno, count(*) AS atti, count(*) FILTER (lower(tipo) <> 'bando') AS diretti, round_even(count(*) FILTER (lower(tipo) <> 'bando') / count(*), 4) AS quota FROM {_A} WHERE giorno IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10 AND count(*) FILTER (lower(tipo) <> 'bando') * 5 > count(*) * 4",
     "share_samples": f"SELECT * FROM (SELECT ente_id, CAST(year(giorno) AS INTEGER) AS anno, CAST(row_number() OVER (PARTITION BY ente_id, year(giorno) ORDER BY giorno DESC, id) AS INTEGER) AS posto, id FROM {_A} WHERE giorno IS NOT NULL AND lower(tipo) <> 'bando') WHERE posto <= {TOP}",
     "windows_90d": f"SELECT DISTINCT ente_id, giorno AS dal, max(giorno) OVER w AS al, count(*) OVER w AS n, CAST(sum(CAST(importo_euro AS DECIMAL(18,2))) OVER w AS DECIMAL(28,2)) AS totale FROM {_A} WHERE giorno IS NOT NULL AND importo_euro > 0 AND importo_euro < 140000 WINDOW w AS (PARTITION BY ente_id ORDER BY giorno RANGE BETWEEN CURRENT ROW AND INTERVAL 90 DAYS FOLLOWING) QUALIFY count(*) OVER w >= 3 AND sum(CAST(importo_euro AS DECIMAL(18,2))) OVER w > 140000",
+    "title_containment": f"WITH t AS (SELECT DISTINCT ente_id, oggetto, {_TOKENS.format('oggetto')} AS w FROM atti WHERE oggetto IS NOT NULL) SELECT a.ente_id, a.oggetto AS contenuto, count(*) AS contenitori FROM t a JOIN t b ON a.ente_id IS NOT DISTINCT FROM b.ente_id AND a.oggetto <> b.oggetto AND len(a.w) >= 5 AND contains(' ' || array_to_string(b.w, ' ') || ' ', ' ' || array_to_string(a.w[-greatest(5, CAST(ceil(len(a.w) / 2) AS INTEGER)):], ' ') || ' ') GROUP BY 1, 2",
     "short_intervals": f"SELECT id, CAST(giorni AS INTEGER) AS giorni FROM (SELECT id, importo_euro, {_DAY.format('data_scadenza')} - {_DAY.format('data_pub')} AS giorni FROM atti WHERE lower(tipo) = 'bando') WHERE giorni >= 0 AND giorni < CASE WHEN importo_euro >= 215000 THEN 30 ELSE 15 END",
-    "role_classification": "SELECT id, CASE " + " ".join(f"WHEN regexp_matches(concat_ws(' ', oggetto, tipo, substr(testo_estratto, 1, {X.SAMPLE})), '{p.replace('(?iu)', '(?i)').replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in X.ROLES) + " ELSE 'altro' END AS ruolo FROM atti",
-    "chain_by_code": f"WITH a AS (SELECT * FROM {_A} WHERE cig IS NOT NULL AND cig <> '') SELECT cig, count(*) AS atti, first(ente_id ORDER BY giorno ASC NULLS LAST, id) AS ente_id, min(giorno) AS avvio, CASE WHEN count(*) > 1 THEN last(giorno ORDER BY giorno ASC NULLS LAST, id) END AS chiusura, first(oggetto ORDER BY giorno ASC NULLS LAST, id) FILTER (oggetto <> '') AS oggetto FROM a GROUP BY 1",
     "extract_codes": r"SELECT DISTINCT id, unnest(regexp_extract_all(testo_estratto, 'CIG[ :.\-]*([A-Z0-9]{10})([^A-Z0-9]|$)', 1)) AS codice FROM atti",
     "extract_dates": "SELECT id, count(*) AS date, min(g) AS prima, max(g) AS ultima FROM (SELECT id, CAST(try_strptime(unnest(regexp_extract_all(testo_estratto, '([0-9]{2}/[0-9]{2}/[0-9]{4})', 1)), '%d/%m/%Y') AS DATE) AS g FROM atti) WHERE g IS NOT NULL GROUP BY 1",
     "extract_amounts": r"SELECT id, count(*) AS importi, CAST(max(CAST(replace(replace(t, '.', ''), ',', '.') AS DECIMAL(38,2))) AS DECIMAL(18,2)) AS massimo FROM (SELECT id, unnest(regexp_extract_all(testo_estratto, '€ ?([0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{2})', 1)) AS t FROM atti) GROUP BY 1",

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from actaspark.functions import spans
 from actaspark.operators import profile, schema_drift
-from actaspark.plans import marts
+from actaspark.plans import chain_queries, marts
 from actaspark.sources import html, pages
 from actaspark.streaming import feeds
 from actaspark.tables import load
 
 QUERIES = {
     **marts.QUERIES,
+    **chain_queries.QUERIES,
     "event_windows": lambda s, d: feeds.tumbling(load(s, d, "events"), "ts", "event_type"),
     "event_sessions": lambda s, d: feeds.sessions(load(s, d, "events"), "ts", "user_id"),
     "text_pages": lambda s, d: pages.split_pages(load(s, d, "atti", "id", "testo_estratto"), "id", "testo_estratto"),
@@ -27,6 +28,8 @@ QUERIES = {
 _GOOD_DATE = "CASE WHEN regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AND NOT starts_with({0}, '0000') THEN TRY_CAST({0} AS DATE) END"
 SQL: dict[str, str] = {
     **marts.SQL,
+    **chain_queries.SQL,
+    "role_classification": f"SELECT id, {chain_queries.role_sql()} AS ruolo FROM atti",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS dal, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS somma FROM events GROUP BY 1, 2",
     "event_sessions": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS k FROM events), b AS (SELECT user_id, ts, sum(k) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM a) SELECT min(ts) AS dal, user_id, count(*) AS n FROM b GROUP BY user_id, g",
     "text_pages": "WITH p AS (SELECT id, generate_subscripts(x, 1) AS numero, unnest(x) AS testo FROM (SELECT id, string_split(testo_estratto, chr(12)) AS x FROM atti WHERE testo_estratto IS NOT NULL)) SELECT id, CAST(numero AS INTEGER) AS numero, testo, CAST(coalesce(sum(length(testo) + 1) OVER (PARTITION BY id ORDER BY numero ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS offset_inizio, CAST(coalesce(sum(length(testo) + 1) OVER (PARTITION BY id ORDER BY numero ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(testo) AS INTEGER) AS offset_fine FROM p",
