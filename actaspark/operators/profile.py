@@ -41,21 +41,41 @@ class ValueCounts:
         return e.groupBy("carico", "campo", "valore").agg((F.count(F.lit(1)) * sign).alias("n"))
 
     def apply(self, rows: DataFrame, load: Column, columns: Sequence[str], sign: int = 1) -> ValueCounts:
-        self.delta(rows, load, columns, sign).write.mode("append").parquet(f"{self.path}/log")
+        self.delta(rows, load, columns, sign).write.mode("append").parquet(f"{self.path}/{self._current()}")
         return self
 
+    def _current(self) -> str:
+        """The folder of the log: that of the last compaction that ended, which Spark marks with a file."""
+        done = [g for g in self._folders() if self._exists(f"{self.path}/{g}/_SUCCESS")]
+        return max(done, default="log-0", key=lambda g: int(g[4:]))
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
+
+    def _folders(self) -> list[str]:
+        p, fs = self._fs(self.path)
+        return [x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().startswith("log-")] if fs.exists(p) else []
+
     def counts(self) -> DataFrame:
-        log = self.spark.read.schema(LAYOUT).parquet(f"{self.path}/log")
+        log = self.spark.read.schema(LAYOUT).parquet(f"{self.path}/{self._current()}")
         return log.groupBy("carico", "campo", "valore").agg(F.sum("n").alias("n")).where("n <> 0")
 
     def check(self) -> DataFrame:
         return self.counts().where("n < 0")
 
     def compact(self) -> ValueCounts:
-        self.counts().write.mode("overwrite").parquet(f"{self.path}/next")
-        merged = self.spark.read.schema(LAYOUT).parquet(f"{self.path}/next")
-        merged.write.mode("overwrite").parquet(f"{self.path}/log")
-        remove(self.spark, f"{self.path}/next")
+        """Writes the sum as the next log, which counts from the moment it is complete; the old one is removed after that.
+
+        A crash before leaves the old log, one after leaves the new; no load may be applied meanwhile.
+        """
+        old = self._current()
+        self.counts().write.mode("overwrite").parquet(f"{self.path}/log-{int(old[4:]) + 1}")
+        remove(self.spark, f"{self.path}/{old}")
         return self
 
     def drop(self) -> None:
@@ -146,15 +166,18 @@ def load_defects(judged: DataFrame) -> DataFrame:
     return m.select(F.lit("carico").alias("ambito"), F.col("carico").alias("chiave"), "campo", F.explode(both).alias("difetto"))
 
 
-def value_counts(rows: DataFrame) -> DataFrame:
-    """The maintained counts of the whole input, each load applied as its own delta."""
-    return ValueCounts(rows.sparkSession).apply(rows, load_day(F.col("data_accesso")), COLUMNS).counts()
+def maintained(rows: DataFrame, name: str = "judged") -> DataFrame:
+    """The judged counts of the whole input, written; the log they are summed from is dropped."""
+    log = ValueCounts(rows.sparkSession).apply(rows, load_day(F.col("data_accesso")), COLUMNS)
+    judged = materialise(judged_counts(log.counts()), name)
+    log.drop()
+    return judged
 
 
 def found(rows: DataFrame) -> DataFrame:
     """Offending values and loads; see TESTDATA.md. Null values are no cases; an empty table gives no rows."""
     rows = rows.select("id", "data_accesso", *COLUMNS)
-    judged = materialise(judged_counts(value_counts(rows)), "judged")
+    judged = maintained(rows)
     return row_defects(rows).unionByName(load_defects(judged))
 
 
@@ -162,12 +185,12 @@ def profile(rows: DataFrame) -> DataFrame:
     """Per column of the whole table: rows, nulls, distinct values, formato and intervallo rows, entropy in bits, range.
 
     Entropy and distinct count are over non-null values, taken from the maintained counts; minimum and maximum are over good
-    values, as text (amounts as numbers in text). Columns without good values have a null range.
+    values, as text (amounts with two decimals). Columns without good values have a null range.
     """
-    judged = judged_counts(value_counts(rows.select("id", "data_accesso", *COLUMNS)))
+    judged = maintained(rows.select("id", "data_accesso", *COLUMNS))
     by_value = judged.groupBy("campo", "valore").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("difetto") == d, F.col("n")).otherwise(0)).alias(d) for d in ("formato", "intervallo")], F.max("buono").alias("buono"), F.max("numero").alias("numero"))
     x = F.when(F.col("valore").isNotNull(), F.col("n"))
-    best = F.when(F.col("buono"), F.struct(F.when(F.col("campo") == "importo_euro", F.col("numero")).alias("o"), F.col("valore").alias("valore")))
+    best = F.when(F.col("buono"), F.struct(F.when(F.col("campo") == "importo_euro", F.col("numero")).alias("o"), F.when(F.col("campo") == "importo_euro", F.format_string("%.2f", "numero")).otherwise(F.col("valore")).alias("valore")))
     p = by_value.groupBy("campo").agg(
         F.sum("n").alias("righe"), (F.sum("n") - F.coalesce(F.sum(x), F.lit(0))).alias("nulli"), F.count(x).alias("distinti"), F.sum("formato").alias("formato"), F.sum("intervallo").alias("intervallo"),
         F.sum(x).alias("_s"), F.sum(x * F.log2(x)).alias("_l"), F.min(best)["valore"].alias("minimo"), F.max(best)["valore"].alias("massimo"),
@@ -177,5 +200,5 @@ def profile(rows: DataFrame) -> DataFrame:
 
 def profile_by_load(rows: DataFrame) -> DataFrame:
     """Metrics of every load and column: rows, nulls, good values, commonest good value's count, median."""
-    judged = materialise(judged_counts(value_counts(rows.select("id", "data_accesso", *COLUMNS))), "judged")
+    judged = maintained(rows.select("id", "data_accesso", *COLUMNS))
     return load_metrics(judged)

@@ -20,7 +20,7 @@ TILE, WIDE = 1_000, 1_024
 def classes(df: DataFrame, block: str, key: str, members: Column) -> DataFrame:
     """(block, key, classe, insieme): the class of a row is a hash of its set. Rows with an empty set are left out."""
     d = df.select(block, key, F.array_sort(F.array_distinct(members)).alias("insieme")).where(F.col(block).isNotNull() & (F.size("insieme") > 0))
-    return d.withColumn("classe", F.sha2(F.array_join("insieme", ""), 256))
+    return d.withColumn("classe", F.sha2(F.array_join("insieme", "\x1f"), 256))
 
 
 def _ranked(sets: DataFrame, block: str) -> DataFrame:
@@ -114,6 +114,23 @@ def greedy_leaders(pairs: DataFrame, order: DataFrame) -> DataFrame:
     return state.join(lead, "nodo", "left").select("nodo", F.when(F.col("guida"), F.col("nodo")).otherwise(F.col("capo")).alias("capo"))
 
 
+def holders(needles: DataFrame, hay: DataFrame, grams: int = 5) -> DataFrame:
+    """(nome, id): for each distinct ``nome`` the least id of hay (id, intero) whose text holds it.
+
+    A needle meets only texts that hold its rarest run of ``grams`` characters (a shorter one itself); one that holds a run no text has is
+    not joined at all.
+    """
+    each = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))
+    sizes = F.sequence(F.lit(1), F.lit(grams))
+    h = hay.where("intero is not null").withColumn("g", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: each(F.col("intero"), n))))))
+    h = materialise(h, "grams")
+    many = h.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("nome") >= grams, F.array_distinct(each(F.col("nome"), F.lit(grams)))).otherwise(F.array("nome"))
+    n = needles.select("nome", F.explode(own).alias("g")).join(many, "g", "left")
+    rare = n.groupBy("nome").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("nome", "r.g")
+    return rare.join(h, "g").where(F.contains("intero", F.col("nome"))).groupBy("nome").agg(F.min("id").alias("id"))
+
+
 def round_robin(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     """The first rows taken in turn from each group, groups in order of their first row. No group needs more than ``limit`` rows."""
     few = top(df, [group], [F.col(order)], limit, "_r")

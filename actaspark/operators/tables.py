@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -60,6 +60,30 @@ def last_write(df: DataFrame, key: Sequence, order: str) -> DataFrame:
     return _by_key(d, names, _best(d, names, F.max(order)), "inner").where(F.col(order) == F.col("_best")).select(*df.columns)
 
 
+def refused(df: DataFrame, key: str, parents: DataFrame, parent: str) -> DataFrame:
+    """Rows whose key is not null and no parent has (a foreign key refuses them)."""
+    return df.where(F.col(key).isNotNull()).join(parents.select(F.col(parent).alias(key)), key, "left_anti").select(*df.columns)
+
+
+def cleared(df: DataFrame, where: Column, columns: Sequence[str]) -> DataFrame:
+    """df with some columns null in the rows that a condition holds for; rows for which it is null stay."""
+    hit = F.coalesce(where, F.lit(False))
+    return df.withColumns({c: F.when(~hit, F.col(c)) for c in columns})
+
+
+def deleted(df: DataFrame, where: Column, key: str, links: DataFrame, link: str) -> tuple[DataFrame, DataFrame]:
+    """df without the rows a condition holds for, and links with null where they named one of these."""
+    gone = F.coalesce(where, F.lit(False))
+    out = df.where(gone).select(F.col(key).alias("_gone")).distinct()
+    j = links.join(out, links[link] == out["_gone"], "left")
+    return df.where(~gone), j.select(*[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == link else c for c in links.columns])
+
+
+def widened(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """df with the columns (name to type) it lacks, null; those it has stay as they are."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns}) if columns else df
+
+
 def stop_on_known(df: DataFrame, source: str, order: str, known: str, run: int = 20) -> DataFrame:
     """The rows a reader sees that stops after ``run`` known rows in a row; that last row included.
 

@@ -96,15 +96,14 @@ _DERIVED = "('revoca', 'annullamento', 'modifica', 'proroga')"
 _BODY = "(SELECT id, coalesce(oggetto, '') || ' ' || coalesce(testo_estratto, '') AS t FROM atti)"
 _REOPENING = ", ".join(f"'{w}'" for w in X.REOPENING_STOP)
 _SET = rf"list_distinct(list_filter(string_split(regexp_replace(lower(coalesce(oggetto, '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: length(w) > 2 AND NOT list_contains([{_REOPENING}], w)))"
-SQL = {
-    "chain_by_code": f"WITH {_ACTS}, {_CODES} SELECT * FROM c",
-    "act_references": f"""
-WITH r AS (
+_REFERENCES = f"""r AS (
   SELECT id, 'numero_atto' AS tipo, unnest(list_transform(list_zip(regexp_extract_all(t, '{C._FULL}', 1), regexp_extract_all(t, '{C._FULL}', 2)), lambda x: 'n.' || x[1] || ' del ' || x[2])) AS valore FROM {_BODY}
   UNION ALL SELECT id, 'numero_atto', unnest(list_transform(list_zip(regexp_extract_all(t, '{C._BRIEF}', 1), regexp_extract_all(t, '{C._BRIEF}', 2)), lambda x: 'n.' || x[1] || '/' || x[2])) FROM {_BODY}
   UNION ALL SELECT id, 'cig', upper(unnest(regexp_extract_all(t, '{C._CIG}', 1))) FROM {_BODY}
-  UNION ALL SELECT id, 'cup', upper(unnest(regexp_extract_all(t, '{C._CUP}', 1))) FROM {_BODY})
-SELECT id, tipo, valore, count(*) AS volte FROM r GROUP BY 1, 2, 3""",
+  UNION ALL SELECT id, 'cup', upper(unnest(regexp_extract_all(t, '{C._CUP}', 1))) FROM {_BODY})"""
+SQL = {
+    "chain_by_code": f"WITH {_ACTS}, {_CODES} SELECT * FROM c",
+    "act_references": f"WITH {_REFERENCES} SELECT id, tipo, valore, count(*) AS volte FROM r GROUP BY 1, 2, 3",
     "containment_links": f"""
 WITH {_ACTS}, w AS (SELECT *, {M._TOKENS.format('oggetto')} AS w FROM a WHERE oggetto <> ''),
 o AS (SELECT id, ente_id, cig, ' ' || array_to_string(w[-greatest(5, CAST(ceil(len(w) / 2) AS INTEGER)):], ' ') || ' ' AS coda FROM w WHERE ruolo NOT IN {_DERIVED} AND len(w) >= 5),

@@ -19,6 +19,8 @@ _DAY = "CASE WHEN regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN
 _EVENT = f"coalesce({_DAY.format('data_atto')}, {_DAY.format('data_pub')})"
 
 
+#: Characters by which subjects and descriptions meet.
+HEAD = 8
 #: Trigram Jaccard of like titles, and from which contradictory titles are twins; fixed values of E08.
 ALIKE, TWINS = 0.35, 0.75
 
@@ -128,20 +130,18 @@ def latest_delivery(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "anac_file").groupBy("flusso").agg(F.max_by("file_id", F.struct("caricato_il", "file_id")).alias("file_id"), F.max("caricato_il").alias("caricato_il"))
 
 
-def names_containing(s: SparkSession, d: str) -> DataFrame:
-    """Bodies whose name holds a tender row's name as whole words: least id for each name. Blocked on the name's first word."""
-    words = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    n = load(s, d, "anac_sample", "denominazione_amministrazione").select(words(F.col("denominazione_amministrazione")).alias("nome")).where("nome <> ''").distinct()
-    e = load(s, d, "enti").select("id", words(F.col("denominazione")).alias("intero"))
-    j = n.withColumn("w", F.split("nome", " ")[0]).join(e.withColumn("w", F.explode(F.array_distinct(F.split("intero", " ")))), "w")
-    return j.where(F.contains(F.concat(F.lit(" "), "intero", F.lit(" ")), F.concat(F.lit(" "), "nome", F.lit(" ")))).groupBy("nome").agg(F.min("id").alias("ente_id"))
-
-
 def flags_naming_subject(s: SparkSession, d: str) -> DataFrame:
-    """Procedures and flags of one body where the first 60 characters of the subject stand in the flag's description."""
+    """Procedures and flags of one body where the first 60 characters of the subject stand in the flag's description.
+
+    A pair meets by the hash of the subject's first eight characters (all, if it has fewer), which stand somewhere in the description.
+    """
     p = load(s, d, "procedimenti").select(F.col("id").alias("procedimento_id"), "ente_id", F.substring("oggetto", 1, 60).alias("inizio")).where("inizio <> ''")
-    f = load(s, d, "red_flags").select(F.col("id").alias("flag_id"), "ente_id", "descrizione")
-    return p.join(f, "ente_id").where(F.contains("descrizione", F.col("inizio"))).select("procedimento_id", "flag_id")
+    f = load(s, d, "red_flags").select(F.col("id").alias("flag_id"), "ente_id", "descrizione").where("descrizione is not null")
+    p = p.withColumn("n", F.least(F.length("inizio"), F.lit(HEAD))).withColumn("k", F.xxhash64(F.substring("inizio", 1, HEAD)))
+    short = [r["n"] for r in p.where(F.col("n") < HEAD).select("n").distinct().collect()]  # fewer than HEAD values
+    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("descrizione") - n + 1, F.lit(1))), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.xxhash64(F.substring("descrizione", i, F.lit(n))).alias("k"))) for n in sorted({HEAD, *short})]))
+    f = f.select("flag_id", "ente_id", "descrizione", F.inline(F.array_distinct(runs)))
+    return p.join(f, ["ente_id", "n", "k"]).where(F.contains("descrizione", F.col("inizio"))).select("procedimento_id", "flag_id")
 
 
 def share_by_year(s: SparkSession, d: str) -> DataFrame:
@@ -199,14 +199,6 @@ def extract_amounts(s: SparkSession, d: str) -> DataFrame:
     return e.groupBy("id").agg(F.count(F.lit(1)).alias("importi"), F.max(X.italian_amount(F.col("t"))).cast("decimal(18,2)").alias("massimo"))
 
 
-def cross_references(s: SparkSession, d: str) -> DataFrame:
-    """Acts that cite the number of another act of their body with its year (``atto N/YYYY``): the least id cited."""
-    a = load(s, d, "atti", "id", "ente_id", "numero", "testo_estratto")
-    cited = a.where("testo_estratto is not null").select("id", "ente_id", F.explode(F.array_distinct(F.regexp_extract_all("testo_estratto", F.lit(r"atto ([0-9]{1,6}/[0-9]{4})"), 1))).alias("numero"))
-    target = a.where("numero is not null").groupBy("ente_id", "numero").agg(F.min("id").alias("citato"))
-    return cited.join(target, ["ente_id", "numero"]).where("citato <> id").select("id", "numero", "citato")
-
-
 def insert_outcomes(s: SparkSession, d: str) -> DataFrame:
     """Reading the acts into an empty table: rows inserted and duplicates by reader."""
     a = load(s, d, "atti", "id", "ente_id", "url_fonte", "fonte_scraper")
@@ -280,8 +272,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         global_counts, acts_by_body, act_order, flag_overview, unflagged_bodies, masked_flags, flag_evidence, procedure_overview, act_timeline, coverage, null_rates, closed_with_acts, flags_with_source,
-        round_robin_procedures, candidate_union, distinct_codes, latest_delivery, names_containing, flags_naming_subject, share_by_year, share_samples, windows_90d, short_intervals, role_classification,
-        extract_codes, extract_dates, extract_amounts, cross_references, insert_outcomes, first_writes, upserted_bodies, replaced_flags, read_until_known, title_classes,
+        round_robin_procedures, candidate_union, distinct_codes, latest_delivery, flags_naming_subject, share_by_year, share_samples, windows_90d, short_intervals, role_classification,
+        extract_codes, extract_dates, extract_amounts, insert_outcomes, first_writes, upserted_bodies, replaced_flags, read_until_known, title_classes,
         title_containment, fuzzy_clusters,
     )
 }
@@ -306,7 +298,6 @@ SQL: dict[str, str] = {
     "candidate_union": "SELECT DISTINCT ente_id, 'segnale' AS da FROM red_flags UNION ALL SELECT DISTINCT ente_id, 'procedimento' FROM procedimenti WHERE stato_finale IN ('revocato', 'annullato') AND ente_id NOT IN (SELECT ente_id FROM red_flags)",
     "distinct_codes": "SELECT DISTINCT cig FROM atti WHERE cig IS NOT NULL AND cig <> ''",
     "latest_delivery": "SELECT flusso, file_id, caricato_il FROM (SELECT *, row_number() OVER (PARTITION BY flusso ORDER BY caricato_il DESC, file_id DESC) AS r FROM anac_file) WHERE r = 1",
-    "names_containing": r"WITH n AS (SELECT DISTINCT trim(regexp_replace(lower(denominazione_amministrazione), '[^\p{L}\p{N}]+', ' ', 'g')) AS nome FROM anac_sample), e AS (SELECT id, trim(regexp_replace(lower(denominazione), '[^\p{L}\p{N}]+', ' ', 'g')) AS intero FROM enti) SELECT nome, min(id) AS ente_id FROM n JOIN e ON contains(' ' || intero || ' ', ' ' || nome || ' ') WHERE nome <> '' GROUP BY 1",
     "flags_naming_subject": "SELECT p.id AS procedimento_id, f.id AS flag_id FROM procedimenti p JOIN red_flags f ON f.ente_id = p.ente_id AND p.oggetto <> '' AND contains(f.descrizione, substr(p.oggetto, 1, 60))",
     "share_by_year": f"SELECT ente_id, CAST(year(giorno) AS INTEGER) AS anno, count(*) AS atti, count(*) FILTER (lower(tipo) <> 'bando') AS diretti, round_even(count(*) FILTER (lower(tipo) <> 'bando') / count(*), 4) AS quota FROM {_A} WHERE giorno IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10 AND count(*) FILTER (lower(tipo) <> 'bando') * 5 > count(*) * 4",
     "share_samples": f"SELECT * FROM (SELECT ente_id, CAST(year(giorno) AS INTEGER) AS anno, CAST(row_number() OVER (PARTITION BY ente_id, year(giorno) ORDER BY giorno DESC, id) AS INTEGER) AS posto, id FROM {_A} WHERE giorno IS NOT NULL AND lower(tipo) <> 'bando') WHERE posto <= {TOP}",
@@ -316,7 +307,6 @@ SQL: dict[str, str] = {
     "extract_codes": r"SELECT DISTINCT id, unnest(regexp_extract_all(testo_estratto, 'CIG[ :.\-]*([A-Z0-9]{10})([^A-Z0-9]|$)', 1)) AS codice FROM atti",
     "extract_dates": "SELECT id, count(*) AS date, min(g) AS prima, max(g) AS ultima FROM (SELECT id, CAST(try_strptime(unnest(regexp_extract_all(testo_estratto, '([0-9]{2}/[0-9]{2}/[0-9]{4})', 1)), '%d/%m/%Y') AS DATE) AS g FROM atti) WHERE g IS NOT NULL GROUP BY 1",
     "extract_amounts": r"SELECT id, count(*) AS importi, CAST(max(CAST(replace(replace(t, '.', ''), ',', '.') AS DECIMAL(38,2))) AS DECIMAL(18,2)) AS massimo FROM (SELECT id, unnest(regexp_extract_all(testo_estratto, '€ ?([0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{2})', 1)) AS t FROM atti) GROUP BY 1",
-    "cross_references": "WITH c AS (SELECT DISTINCT id, ente_id, unnest(regexp_extract_all(testo_estratto, 'atto ([0-9]{1,6}/[0-9]{4})', 1)) AS numero FROM atti), t AS (SELECT ente_id, numero, min(id) AS citato FROM atti WHERE numero IS NOT NULL GROUP BY 1, 2) SELECT c.id, c.numero, t.citato FROM c JOIN t USING (ente_id, numero) WHERE t.citato <> c.id",
     "insert_outcomes": "SELECT fonte_scraper, CASE WHEN r = 1 THEN 'inserito' ELSE 'duplicato' END AS esito, count(*) AS righe FROM (SELECT fonte_scraper, row_number() OVER (PARTITION BY ente_id, url_fonte ORDER BY id) AS r FROM atti) GROUP BY 1, 2",
     "first_writes": "SELECT id, ente_id, url_fonte FROM (SELECT *, row_number() OVER (PARTITION BY ente_id, url_fonte ORDER BY id) AS r FROM atti) WHERE r = 1",
     "upserted_bodies": "SELECT id, codice_istat, CASE WHEN id % 3 = 0 THEN upper(denominazione) ELSE denominazione END AS denominazione, CASE WHEN id % 3 = 0 THEN 'QZ' ELSE provincia END AS provincia, popolazione, sito_web FROM enti",
