@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from actaspark.operators.rank import row_number
+from actaspark.storage import materialise
 
 
 def _by_key(df: DataFrame, key: Sequence[str], best: DataFrame, how: str) -> DataFrame:
@@ -85,13 +88,19 @@ def widened(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 
 def stop_on_known(df: DataFrame, source: str, order: str, known: str, run: int = 20) -> DataFrame:
-    """The rows a reader sees that stops after ``run`` known rows in a row; that last row included.
+    """The rows a reader sees that stops after ``run`` known rows in a row; that last row included. A null mark is not known.
 
-    A source is read in order, so its rows are ordered in one task, which spills; of them only source, order and mark are needed.
+    Places in a source, and among its new rows, are numbered over ranges; the reader stops behind the first new row (or the start) that
+    the next new row is more than ``run`` places away from. So no task holds a source.
     """
-    w = Window.partitionBy(source).orderBy(order)
-    d = df.withColumn("_new", F.sum(F.when(F.col(known), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    island = Window.partitionBy(source, "_new").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_len", F.sum(F.when(F.col(known), 1).otherwise(0)).over(island))
-    d = d.withColumn("_stop", F.coalesce(F.sum(F.when(F.col("_len") == run, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return d.where("_stop = 0").drop("_new", "_len", "_stop")
+    same = lambda x: F.col(source).eqNullSafe(F.col(x))
+    d = materialise(row_number(df, [source], [F.col(order)], "_place"), "places")
+    fresh = d.where(~F.coalesce(F.col(known), F.lit(False))).select(source, "_place")
+    n = row_number(fresh, [source], [F.col("_place")], "_k").select(F.col(source).alias("_s"), "_place", "_k")
+    ends = d.groupBy(source).agg(F.max("_place").alias("_end")).select(F.col(source).alias("_s"), "_end")
+    n = materialise(n.unionByName(ends.select("_s", F.lit(0).alias("_place"), F.lit(0).alias("_k"))), "news")
+    after = n.select(F.col("_s").alias("_s2"), F.col("_place").alias("_next"), (F.col("_k") - 1).alias("_k2"))
+    gap = n.join(after, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_k") == F.col("_k2")), "left").drop("_s2").join(ends.withColumnRenamed("_s", "_s3"), F.col("_s").eqNullSafe(F.col("_s3")))
+    wide = F.coalesce("_next", F.col("_end") + 1) - F.col("_place") > run
+    stop = gap.where(wide).groupBy("_s").agg((F.min("_place") + run).alias("_stop"))
+    return d.join(stop, same("_s"), "left").where(F.col("_stop").isNull() | (F.col("_place") <= F.col("_stop"))).select(*df.columns)

@@ -33,3 +33,9 @@ def problems(registry: DataFrame, modules: Collection[str], without_body: Collec
     d = registry.join(counts, F.col("slug").eqNullSafe(F.col("_s")))
     found = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])
     return d.select("slug", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problema"))
+
+
+def runnable(registry: DataFrame, states: Collection[str] = ("attivo",), modules: Collection[str] | None = None) -> DataFrame:
+    """Readers in a state in which they are run, of the modules asked for (all, if none are named); null states and modules are not run."""
+    d = registry.where(F.col("stato").isin(*states) & F.col("modulo").isNotNull())
+    return d if modules is None else d.where(F.col("modulo").isin(*modules))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from actaspark.operators.tables import insert_new
@@ -14,27 +14,35 @@ from actaspark.operators.tables import insert_new
 class IdempotentSink:
     """``foreachBatch`` sink that adds the rows whose key the table lacks; a batch given again adds nothing.
 
-    Each batch is written to its own folder, overwritten if the batch is retried, so a lost executor or driver leaves no duplicates.
+    Each batch is written to its own folder, overwritten if the batch is retried, so a lost executor or driver leaves no duplicates. Rows lie
+    in folders by a hash of their key as well, and a batch reads only the folders its keys fall in.
     """
 
-    def __init__(self, path: str, key: list[str], order: str):
-        self.path, self.key, self.order = path, key, order
+    def __init__(self, path: str, key: list[str], order: str, buckets: int = 64):
+        self.path, self.key, self.order, self.buckets = path, key, order, buckets
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = self.table(spark, batch.schema, batch_id)
+        mine = [r["secchio"] for r in batch.select(self._bucket().alias("secchio")).distinct().collect()]  # at most as many as buckets
+        known = self.table(spark, batch.schema, batch_id, mine)
         new = insert_new(known, batch, self.key, self.order).where("esito = 'inserito'").drop("esito")
-        new.write.mode("overwrite").parquet(f"{self.path}/lotto={batch_id}")
+        new.withColumn("secchio", self._bucket()).write.mode("overwrite").partitionBy("secchio").parquet(f"{self.path}/lotto={batch_id}")
 
-    def table(self, spark: SparkSession, schema, but: int | None = None) -> DataFrame:
-        """What was written so far, without one batch."""
-        try:
-            d = spark.read.schema(T.StructType([*schema.fields, T.StructField("lotto", T.LongType())])).parquet(self.path)
-        except Exception:  # nothing written yet
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.key]), F.lit(self.buckets)).cast("int")
+
+    def table(self, spark: SparkSession, schema, but: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """What was written so far, without one batch, or of some hash folders only. Only a folder that is not there is an empty table."""
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             return spark.createDataFrame([], schema)
+        d = spark.read.schema(T.StructType([*schema.fields, T.StructField("lotto", T.LongType()), T.StructField("secchio", T.IntegerType())])).parquet(self.path)
         if but is not None:
             d = d.where(F.col("lotto") != but)
-        return d.drop("lotto")
+        if buckets is not None:
+            d = d.where(F.col("secchio").isin(buckets))
+        return d.drop("lotto", "secchio")
 
 
 def tumbling(events: DataFrame, time: str, group: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -55,15 +63,16 @@ def until_known(rows: DataFrame, source: str, run: int = 20) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         length, done = state.get if state.exists else (0, False)
-        for b in batches:
-            out = []
-            for place, known in b.sort_values("posto")[["posto", "noto"]].itertuples(index=False):
-                if done:
-                    break
-                out.append((key[0], place))
-                length = length + 1 if known else 0
-                done = length >= run
-            yield pd.DataFrame(out, columns=[source, "posto"])
+        # a source's rows of one trigger may come in several Arrow batches; two narrow columns of them are put in order together
+        whole = pd.concat(list(batches)).sort_values("posto")
+        out = []
+        for place, known in whole[["posto", "noto"]].itertuples(index=False):
+            if done:
+                break
+            out.append((key[0], place))
+            length = length + 1 if known else 0
+            done = length >= run
         state.update((length, done))
+        yield pd.DataFrame(out, columns=[source, "posto"])
 
     return rows.groupBy(source).applyInPandasWithState(step, f"{source} {kind}, posto long", "lunghezza int, finito boolean", "append", GroupStateTimeout.NoTimeout)
