@@ -21,6 +21,7 @@ QUERIES = {
     "text_pages": lambda s, d: pages.split_pages(load(s, d, "atti", "id", "testo_estratto"), "id", "testo_estratto"),
     "markup_stripped": lambda s, d: spread(load(s, d, "documents", "doc_id", "text")).select("doc_id", html.strip_tags(F.col("text")).alias("testo")),
     "entity_spans": lambda s, d: spans.extract(load(s, d, "atti", "id", "testo_estratto"), "id", "testo_estratto"),
+    "people_in_office": lambda s, d: spans.recurring_people(spans.extract(load(s, d, "atti", "id", "testo_estratto"), "id", "testo_estratto", (spans.actor_spans,)), "id"),
     "p2_found": lambda s, d: profile.found(load(s, d, "atti")),
     "p2_profile": lambda s, d: profile.profile(load(s, d, "atti")),
     "p2_loads": lambda s, d: profile.profile_by_load(load(s, d, "atti")),

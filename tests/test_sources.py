@@ -51,3 +51,27 @@ def test_act_references():
     got = list(spans.acts(t))
     assert [v for _, v, _, _ in got] == ["nota 4867/2023", "deliberazione 55", "nota 18443/2026", "determina 7/2024", "nota 4867/2023"]
     assert t[got[1][2] : got[1][3]].endswith("18.04.2024") and t[got[2][2] : got[2][3]].endswith("25-05-2026") and got[0][2] != got[4][2]
+
+
+def test_amounts_and_codes():
+    t = "euro 1.234,50 e 12,5 € poi € 1.23 o 45 euro; €7. CIG n. ABCDE12345, CIG NNNNN12345 CIG:123 CUP A12345678901234 CUP 112345678901234"
+    assert [v for _, v, _, _ in spans.amounts(t)] == ["1234.50", "12.50", "45.00", "7.00"]
+    assert [(k, v) for k, v, _, _ in spans.codes(t)] == [("cig", "ABCDE12345"), ("cig", "NNNNN12345"), ("cup", "A12345678901234")]
+    assert all(t[s:e].upper() == v for _, v, s, e in spans.codes(t))
+    assert [spans.number(x) for x in ("1.2345", "1234.567", "1,234", "", "1.000.000")] == [None, None, None, None, spans.Decimal("1000000.00")]
+
+
+def test_norms_and_signatures():
+    t = "art. 5 della legge n. 241/1990 e comma 1-bis; 21 nonies\nart. 13 senza altro.\nCCNL comparto Funzioni Locali del 16.11.2022. legge 241/1990"
+    assert [v for _, v, _, _ in spans.norms(t)] == ["art. 5 241/1990", "241/1990", "art. 21-nonies 241/1990", "CCNL comparto Funzioni Locali del 2022-11-16"]
+    assert [v for _, v, _, _ in spans.signatories("dott. Mario Rossi Il\nF.to Anna Visto, ing. Ugo De Luca")] == ["Mario Rossi", "Ugo De Luca"]
+
+
+def test_actors(spark):
+    gap = " e così via" * 12
+    t = f"Il Segretario  generale dott. Mario Rossi.{gap} IL SINDACO: ANNA MARIA VERDI.{gap} Il Dirigente.{gap} Il Sindaco{gap} Il Segretario Generale F.to Rossi Mario Luca.{gap} Il RUP COMUNE DI ALFA"
+    assert [(r, n) for r, n, _, _ in spans.actors(t)] == [("Segretario Generale", "Rossi Mario Luca"), ("Sindaco", "Anna Maria Verdi"), ("Dirigente", None), ("RUP", None)]
+    assert t[list(spans.actors(t))[1][2] :].startswith("SINDACO")
+    d = spark.createDataFrame([(1, "Il Sindaco dott. Mario Rossi", "x"), (2, "Presidente F.to Rossi Mario", "x"), (3, None, "x"), (4, "", "x")], "id long, testo string, persona string")
+    got = [tuple(r) for r in spans.recurring_people(spans.extract(d, "id", "testo"), "id").collect()]
+    assert got == [("MARIO ROSSI", 2, 2, "Presidente, Sindaco", "Mario Rossi")]
