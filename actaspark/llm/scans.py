@@ -1,7 +1,7 @@
 """Noise in the text of scanned pages: running headers and footers, page numbers, cut words, misread characters.
 
-Headers and footers are lines at a page's edge that come again, up to misread characters, at the edge of a near page of the
-same act. Page numbers are edge lines of nothing but a number that goes with the page. Cut words are joined and misread words set right
+Headers and footers are lines at a page's edge that come again, up to misread characters, at the same edge of a near page of the
+same act; a line further in counts only if all lines between it and the edge do, or are page numbers. Page numbers are edge lines of nothing but a number that goes with the page. Cut words are joined and misread words set right
 by the corpus vocabulary: counts of words in native texts against counts in scanned ones.
 
 Pages are compared with near pages only, by a join on (act, page), so an act of any length is spread over many tasks. The vocabulary and the corrections are
@@ -15,6 +15,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from actaspark.storage import materialise, spread
 
-#: Lines at the top and bottom, page numbers aside, that count as a page's edge, pages on either side they are compared with, least likeness, least letters.
-TOP, BOTTOM, REACH, LIKE, LETTERS = 1, 1, 2, 0.86, 8
+#: Lines at either edge, page numbers aside, that a header or footer may have at most, pages on either side they are compared with, least likeness, least letters.
+EDGE, REACH, LIKE, LETTERS = 6, 3, 0.86, 8
 #: Characters as read and what may have stood there; fixed values from common misreadings.
 MISREAD = (
     ("l", "i"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("2", "z"), ("8", "b"), ("6", "b"), ("9", "g"), ("c", "e"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u"),
@@ -32,11 +33,14 @@ MISREAD = (
 HYPHENS = "-­¬‐="
 #: Native occurrences that make a word a possible reading; how much rarer a misreading must be than it in native text.
 KNOWN, RARER = 4, 20
+#: Characters of the shortest words that are set right.
+SHORTEST = 3
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
 _LABELLED = re.compile(r"(?:p[aà]g(?:ina)?|foglio|p)\.?\s*(?:n\.?\s*)?([0-9ilo]{1,4})(?:\s*(?:di|/|su)\s*[0-9ilo]{1,4})?\.?")
 _FRAMED = re.compile(r"[-–—~*\[(]\s*([0-9ilo]{1,4})\s*[-–—~*\])]")
 _OF = re.compile(r"([0-9ilo]{1,3})\s*(?:/|di|su)\s*([0-9ilo]{1,3})\.?")
 _BARE = re.compile(r"([0-9]{1,4}|[lo0-9]{1,4}|[ivx]{1,5})\.?")
+_NUMBERED = re.compile(r"(?:p[aà]g|foglio|p\b|[-–—~*\[(0-9liovx])")
 _TAIL = re.compile(r"[\s\-–—|,.]*(?:p[aà]g(?:ina)?\.?|foglio)?\s*(?:n\.)?\s*[0-9lIO]{1,4}(?:\s*(?:di|/)\s*[0-9lIO]{1,4})?\s*[-–—.]*$")
 _FOLD = str.maketrans("105289áéíóúàèìòùlyqfcb", "loszbgaeiouaeiouivgteh")
 
@@ -50,8 +54,8 @@ def _digits(s: str) -> int:
 
 def page_number(line: str, numero: int) -> bool:
     """Whether a line is only the number of page numero: labelled, framed, as a fraction, bare or Roman."""
-    t = line.strip().lower()
-    if not t or len(t) > 24:
+    t = " ".join(line.lower().split())
+    if not t or not _NUMBERED.match(t):
         return False
     for p in (_LABELLED, _FRAMED):
         if p.fullmatch(t):
@@ -83,43 +87,77 @@ def edge_key(line: str) -> str:
     return "".join(c for c in t if c.isalpha())
 
 
-def edge_lines(text: str | None, numero: int) -> list[tuple[int, str]]:
-    """(riga, key) of the lines at a page's edges that may be a header or footer."""
+def edge_lines(text: str | None, numero: int) -> list[tuple[int, str, int, str]]:
+    """(riga, edge, place from the edge, key) of the lines at a page's edges that may be a header or footer; edge is t or b.
+
+    A line too short to be compared ends an edge. The lines of a short page belong to both edges.
+    """
     if not text:
         return []
     full = [(i, s) for i, s in enumerate(text.split("\n"), 1) if s.strip()]
-    content = [(i, s) for i, s in full if not page_number(s, numero)]
-    edge = content[:TOP] + content[max(TOP, len(content) - BOTTOM) :]
-    return [(i, k) for i, s in edge if len(k := edge_key(s)) >= LETTERS]
+    out = []
+    for edge, side in (("t", full), ("b", full[::-1])):
+        place = 0
+        for i, s in side:
+            if place == EDGE:
+                break
+            if page_number(s, numero):
+                continue
+            k = edge_key(s)
+            if len(k) < LETTERS:
+                break
+            out.append((i, edge, place, k))
+            place += 1
+    return out
 
 
 def same_line(a: str, b: str) -> bool:
+    """Whether two keys are alike; lengths and letters are compared first."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)):
+    whole = len(a) + len(b)
+    if 2 * min(len(a), len(b)) < LIKE * whole or 2 * (Counter(a) & Counter(b)).total() < LIKE * whole:
         return False
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    return m.real_quick_ratio() >= LIKE and m.quick_ratio() >= LIKE and m.ratio() >= LIKE
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= LIKE
+
+
+def repeated(lines: list[tuple[int, str, int, str]], near: list[str]) -> list[int]:
+    """The lines (riga) of a page that come again at the same edge and place of a near page; an outermost line also at the other edge.
+
+    near: edge, place and key of near pages' lines as one text each.
+    """
+    at: dict[tuple[str, int], set[str]] = defaultdict(set)
+    for x in near:
+        edge, place, key = x.split(" ", 2)
+        at[edge, int(place)].add(key)
+    out, open_ = [], {"t": True, "b": True}
+    for i, edge, place, key in lines:
+        if open_[edge]:
+            others = at[edge, place] | (at["t", 0] | at["b", 0] if place == 0 else set())
+            open_[edge] = key in others or any(same_line(key, x) for x in others)
+            if open_[edge]:
+                out.append(i)
+    return sorted(set(out))
 
 
 def names_act(line: str, number: str | None, title: str | None) -> bool:
     """Whether a line states the act's number and words of its title, as a running header does; for acts that have one page with a header."""
     digits = re.match(r"\s*0*(\d+)", number or "")
-    if not digits or not title or len(line) > 140 or digits.group(1) not in re.findall(r"\d+", line):
+    if not digits or not title or digits.group(1) not in re.findall(r"\d+", line):
         return False
     words = lambda s: {w for w in re.split(r"[^a-z]+", edge_fold(s)) if len(w) >= 2}
     return len(words(line) & words(title)) >= 2
 
 
 def flags(text: str | None, numero: int, near: list[str], number: str | None = None, title: str | None = None) -> list[tuple[int, str]]:
-    """(riga, difetto) of headers, footers and page numbers, given the edge keys of near pages, the act's number and title."""
+    """(riga, difetto) of headers, footers and page numbers, given the edge lines of near pages, the act's number and title."""
     if not text:
         return []
-    known = set(near)
-    out = [(i, "intestazione") for i, k in edge_lines(text, numero) if k in known or any(same_line(k, x) for x in known)]
+    edge = edge_lines(text, numero)
+    out = [(i, "intestazione") for i in repeated(edge, near)]
     if numero > 1 and not out:
         lines = text.split("\n")
-        out = [(i, "intestazione") for i, _ in edge_lines(text, numero) if names_act(lines[i - 1], number, title)]
+        out = [(i, "intestazione") for i in sorted({i for i, _, place, _ in edge if place == 0}) if names_act(lines[i - 1], number, title)]
     full = [(i, s) for i, s in enumerate(text.split("\n"), 1) if s.strip()]
     taken = {i for i, _ in out}
     rest = [(i, s) for i, s in full if i not in taken]
@@ -137,13 +175,13 @@ def flagged(pages: DataFrame, acts: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for a, n, t in zip(b["atto_id"], b["numero"], b["testo"]):
-                keys = [k for _, k in edge_lines(t, n)]
+                keys = [f"{e} {p} {k}" for _, e, p, k in edge_lines(t, n)]
                 if keys:
                     rows += [(a, n + d, keys) for d in range(-REACH, REACH + 1) if d]
             yield pd.DataFrame(rows, columns=["atto_id", "numero", "chiavi"]).astype({"atto_id": "int64", "numero": "int32"})
 
     near = p.select("atto_id", "numero", "testo").mapInPandas(edges, "atto_id long, numero int, chiavi array<string>")
-    near = near.groupBy("atto_id", "numero").agg(F.flatten(F.collect_list("chiavi")).alias("vicine"))  # bounded by 2 * REACH * (TOP + BOTTOM)
+    near = near.groupBy("atto_id", "numero").agg(F.flatten(F.collect_list("chiavi")).alias("vicine"))  # bounded by 2 * REACH pages of 2 * EDGE lines
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -207,7 +245,7 @@ def vocabulary(acts: DataFrame, pages: DataFrame, tokens: DataFrame) -> DataFram
     words = F.array_distinct(F.transform(F.split("testo_estratto", r"[\s ]+"), _strip))
     n = native.select(F.explode(words).alias("parola"), F.lit(1).alias("nativa"))
     t = tokens.select("parola", F.when(F.col("fonte") == "nativo", 1).otherwise(0).alias("nativa"))
-    both = n.unionByName(t).where(F.col("parola").rlike(r"^[\p{L}\p{N}][\p{L}\p{N}'’\-]{1,40}$") & F.col("parola").rlike(r"\p{L}"))
+    both = n.unionByName(t).where(F.col("parola").rlike(r"^[\p{L}\p{N}][\p{L}\p{N}'’\-]+$") & F.col("parola").rlike(r"\p{L}"))
     return both.groupBy("parola").agg(F.sum("nativa").alias("nativa"), (F.count(F.lit(1)) - F.sum("nativa")).alias("letta"))
 
 
@@ -267,7 +305,7 @@ def corrections(suspects: DataFrame, words: DataFrame) -> DataFrame:
 def _suspects(words: DataFrame) -> DataFrame:
     """Words of scanned pages that native texts lack, or have far less often, and that are mostly letters."""
     letters = F.length(F.regexp_replace("parola", r"[^\p{L}]", ""))
-    return words.where((F.col("letta") > 0) & (F.col("nativa") * 4 <= F.col("letta")) & (letters * 2 > F.length("parola")) & F.length("parola").between(4, 32))
+    return words.where((F.col("letta") > 0) & (F.col("nativa") * 4 <= F.col("letta")) & (letters * 2 > F.length("parola")) & (F.length("parola") >= SHORTEST))
 
 
 def _date(w: Column) -> Column:

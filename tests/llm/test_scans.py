@@ -61,3 +61,27 @@ def test_page_numbers():
         assert S.page_number(s, 2), s
     for s in ("16/12/2020.", "144/2025.", "12", "visto", "2 giorni", "III"):
         assert not S.page_number(s, 2), s
+
+
+def test_headers_of_two_lines_and_every_third_page(spark):
+    body = ["il consiglio approva la graduatoria", "la giunta rinvia ogni decisione", "il dirigente liquida la somma dovuta", "la seduta termina senza altri interventi", "il segretario legge il verbale di ieri", "nessuno chiede la parola sul punto", "si passa al voto per alzata di mano"]
+    head = "COMUNE DI ALFA SETTORE TECNICO\nufficio lavori pubblici e manutenzioni\n"
+    pages = [(1, n, head + f"{b}\nfine della pagina {b[::-1]}", "ocr") for n, b in enumerate(body[:3], 1)]
+    pages += [(2, n, (head if n in (1, 4, 7) else "") + b, "ocr") for n, b in enumerate(body, 1)]
+    # a body line that comes again at another place is no header, nor is one behind a line that does not come again
+    pages += [(3, 1, "prima riga della prima pagina\nuna riga che torna sempre uguale", "ocr"), (3, 2, "seconda pagina senza testata alcuna\nuna riga che torna sempre uguale\naltro testo in fondo alla pagina", "ocr")]
+    p = spark.createDataFrame([(*x, "x") for x in pages], "atto_id long, numero int, testo string, fonte string, parola string")
+    a = spark.createDataFrame([], "id long, numero string, oggetto string, testo_estratto string")
+    got = {(r["atto_id"], r["numero"], r["riga"]) for r in S.found(p, a).where("difetto = 'intestazione'").collect()}
+    assert got == {(1, n, i) for n in (1, 2, 3) for i in (1, 2)} | {(2, n, i) for n in (1, 4, 7) for i in (1, 2)}
+
+
+def test_short_and_long_words(spark):
+    long = "precipitevolissimevolmentescrittosenzaspazinelmezzo"
+    a = spark.createDataFrame([(100 + i, None, None, f"la via del mare {long}") for i in range(30)], "id long, numero string, oggetto string, testo_estratto string")
+    p = spark.createDataFrame([(1, 1, f"la via de1 mare {long[:10]}0{long[11:]}" if long[10] == "o" else f"la via de1 mare {long.replace('o', '0', 1)}", "ocr")], "atto_id long, numero int, testo string, fonte string")
+    assert {r["forma"] for r in S.found(p, a).collect()} == {"del", long}
+
+
+def test_page_number_in_a_long_line():
+    assert S.page_number("pagina      n.        2          di            15", 2) and not S.page_number("pagina 2 " * 10_000, 2)
