@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,6 +26,8 @@ from actaspark.storage import materialise, spread
 
 #: Lines at either edge, page numbers aside, that a header or footer may have at most, pages on either side they are compared with, least likeness, least letters.
 EDGE, REACH, LIKE, LETTERS = 6, 3, 0.86, 8
+#: Pages of a block, whose edges come together.
+PAGES = 8
 #: Characters as read and what may have stood there; fixed values from common misreadings.
 MISREAD = (
     ("l", "i"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("2", "z"), ("8", "b"), ("6", "b"), ("9", "g"), ("c", "e"), ("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u"),
@@ -173,24 +176,27 @@ def flagged(pages: DataFrame, acts: DataFrame) -> DataFrame:
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for a, n, t in zip(b["atto_id"], b["numero"], b["testo"]):
-                keys = [f"{e} {p} {k}" for _, e, p, k in edge_lines(t, n)]
-                if keys:
-                    rows += [(a, n + d, keys) for d in range(-REACH, REACH + 1) if d]
-            yield pd.DataFrame(rows, columns=["atto_id", "numero", "chiavi"]).astype({"atto_id": "int64", "numero": "int32"})
+            keys = ["\n".join(f"{e} {p} {k}" for _, e, p, k in edge_lines(t, n)) for n, t in zip(b["numero"], b["testo"])]
+            some = [bool(k) for k in keys]
+            yield pd.DataFrame({"atto_id": b["atto_id"][some], "n": b["numero"][some], "chiavi": list(compress(keys, some))})
 
-    near = p.select("atto_id", "numero", "testo").mapInPandas(edges, "atto_id long, numero int, chiavi array<string>")
-    near = near.groupBy("atto_id", "numero").agg(F.flatten(F.collect_list("chiavi")).alias("vicine"))  # bounded by 2 * REACH pages of 2 * EDGE lines
+    # a page's edge goes to the one or two blocks of pages that it is near to; a block has PAGES + 2 * REACH pages at most
+    block = lambda n: F.floor(n / PAGES).cast("int")
+    sent = p.select("atto_id", "numero", "testo").mapInPandas(edges, "atto_id long, n int, chiavi string")
+    sent = sent.select("atto_id", "n", "chiavi", F.explode(F.array_distinct(F.array(block(F.col("n") - REACH), block(F.col("n") + REACH)))).alias("blocco"))
+    near = sent.groupBy("atto_id", "blocco").agg(F.collect_list(F.struct("n", "chiavi")).alias("pagine"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            marks = [[{"riga": i, "difetto": d} for i, d in flags(t, n, list(v) if v is not None else [], x, o)] for t, n, v, x, o in zip(b["testo"], b["numero"], b["vicine"], b["numero_atto"], b["titolo"])]
+            marks = [[{"riga": i, "difetto": d} for i, d in flags(t, n, v.split("\n") if v else [], x, o)] for t, n, v, x, o in zip(b["testo"], b["numero"], b["vicine"], b["numero_atto"], b["titolo"])]
             yield b.drop(columns=["vicine", "numero_atto", "titolo"]).assign(segni=marks)
 
     titles = acts.select(F.col("id").cast("long").alias("atto_id"), F.col("numero").alias("numero_atto"), F.col("oggetto").alias("titolo")).dropDuplicates(["atto_id"])
     p = p.join(titles, "atto_id", "left")
-    return p.join(near, ["atto_id", "numero"], "left").select("atto_id", "numero", "testo", "fonte", "vicine", "numero_atto", "titolo").mapInPandas(run, "atto_id long, numero int, testo string, fonte string, segni array<struct<riga:int,difetto:string>>")
+    apart = lambda x: F.abs(x["n"] - F.col("numero")).between(1, REACH)
+    p = p.withColumn("blocco", block(F.col("numero"))).join(near, ["atto_id", "blocco"], "left")
+    p = p.withColumn("vicine", F.array_join(F.transform(F.filter("pagine", apart), lambda x: x["chiavi"]), "\n"))
+    return p.select("atto_id", "numero", "testo", "fonte", "vicine", "numero_atto", "titolo").mapInPandas(run, "atto_id long, numero int, testo string, fonte string, segni array<struct<riga:int,difetto:string>>")
 
 
 def _strip(w: Column) -> Column:
