@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from actaspark.storage import materialise, spread
 
 #: Lines at either edge, page numbers aside, that a header or footer may have at most, pages on either side they are compared with, least likeness, least letters.
-EDGE, REACH, LIKE, LETTERS = 6, 3, 0.86, 8
+EDGE, REACH, LIKE, LETTERS = 4, 3, 0.86, 8
 #: Pages of a block, whose edges come together.
 PAGES = 8
 #: Characters as read and what may have stood there; fixed values from common misreadings.
@@ -45,6 +45,7 @@ _OF = re.compile(r"([0-9ilo]{1,3})\s*(?:/|di|su)\s*([0-9ilo]{1,3})\.?")
 _BARE = re.compile(r"([0-9]{1,4}|[lo0-9]{1,4}|[ivx]{1,5})\.?")
 _NUMBERED = re.compile(r"(?:p[aà]g|foglio|p\b|[-–—~*\[(0-9liovx])")
 _TAIL = re.compile(r"[\s\-–—|,.]*(?:p[aà]g(?:ina)?\.?|foglio)?\s*(?:n\.)?\s*[0-9lIO]{1,4}(?:\s*(?:di|/)\s*[0-9lIO]{1,4})?\s*[-–—.]*$")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _FOLD = str.maketrans("105289áéíóúàèìòùlyqfcb", "loszbgaeiouaeiouivgteh")
 
 
@@ -80,38 +81,36 @@ def page_number(line: str, numero: int) -> bool:
 
 def edge_fold(line: str) -> str:
     """Lower case with common misreadings folded into one form."""
-    t = unicodedata.normalize("NFC", line.lower()).translate(_FOLD)
+    t = (line.lower() if line.isascii() else unicodedata.normalize("NFC", line.lower())).translate(_FOLD)
     return t.replace("rn", "m").replace("ri", "n").replace("ii", "u").replace("cl", "d")
 
 
 def edge_key(line: str) -> str:
     """What is compared of an edge line: its letters without a page number at the end, folded."""
-    t = edge_fold(_TAIL.sub("", line.strip()) or line)
-    return "".join(c for c in t if c.isalpha())
+    t = line.strip()
+    if t and t[-1] in "0123456789lIO-–—.":
+        t = _TAIL.sub("", t) or t
+    return _NO_LETTERS.sub("", edge_fold(t))
 
 
-def edge_lines(text: str | None, numero: int) -> list[tuple[int, str, int, str]]:
-    """(riga, edge, place from the edge, key) of the lines at a page's edges that may be a header or footer; edge is t or b.
+def edge_lines(text: str | None, numero: int, edge: str) -> Iterator[tuple[int, int, str]]:
+    """(riga, place from the edge, key) of the lines at a page's edge (t or b) that may be a header or footer, as far as they are asked for.
 
     A line too short to be compared ends an edge. The lines of a short page belong to both edges.
     """
-    if not text:
-        return []
-    full = [(i, s) for i, s in enumerate(text.split("\n"), 1) if s.strip()]
-    out = []
-    for edge, side in (("t", full), ("b", full[::-1])):
-        place = 0
-        for i, s in side:
-            if place == EDGE:
-                break
-            if page_number(s, numero):
-                continue
-            k = edge_key(s)
-            if len(k) < LETTERS:
-                break
-            out.append((i, edge, place, k))
-            place += 1
-    return out
+    lines = text.split("\n") if text else []
+    place = 0
+    for i in range(len(lines)) if edge == "t" else range(len(lines) - 1, -1, -1):
+        s = lines[i]
+        if not s.strip() or page_number(s, numero):
+            continue
+        k = edge_key(s)
+        if len(k) < LETTERS:
+            return
+        yield i + 1, place, k
+        place += 1
+        if place == EDGE:
+            return
 
 
 def same_line(a: str, b: str) -> bool:
@@ -124,23 +123,24 @@ def same_line(a: str, b: str) -> bool:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= LIKE
 
 
-def repeated(lines: list[tuple[int, str, int, str]], near: list[str]) -> list[int]:
+def repeated(text: str, numero: int, near: list[str]) -> list[int]:
     """The lines (riga) of a page that come again at the same edge and place of a near page; an outermost line also at the other edge.
 
     near: edge, place and key of near pages' lines as one text each.
     """
-    at: dict[tuple[str, int], set[str]] = defaultdict(set)
+    if not near:
+        return []
+    at: dict[str, set[str]] = defaultdict(set)
     for x in near:
-        edge, place, key = x.split(" ", 2)
-        at[edge, int(place)].add(key)
-    out, open_ = [], {"t": True, "b": True}
-    for i, edge, place, key in lines:
-        if open_[edge]:
-            others = at[edge, place] | (at["t", 0] | at["b", 0] if place == 0 else set())
-            open_[edge] = key in others or any(same_line(key, x) for x in others)
-            if open_[edge]:
-                out.append(i)
-    return sorted(set(out))
+        at[x[:3]].add(x[4:])
+    out = set()
+    for edge in "tb":
+        for i, place, key in edge_lines(text, numero, edge):
+            others = at[f"{edge} {place}"] if place else at["t 0"] | at["b 0"]
+            if key not in others and not any(same_line(key, x) for x in others):
+                break
+            out.add(i)
+    return sorted(out)
 
 
 def names_act(line: str, number: str | None, title: str | None) -> bool:
@@ -156,11 +156,11 @@ def flags(text: str | None, numero: int, near: list[str], number: str | None = N
     """(riga, difetto) of headers, footers and page numbers, given the edge lines of near pages, the act's number and title."""
     if not text:
         return []
-    edge = edge_lines(text, numero)
-    out = [(i, "intestazione") for i in repeated(edge, near)]
+    out = [(i, "intestazione") for i in repeated(text, numero, near)]
     if numero > 1 and not out:
         lines = text.split("\n")
-        out = [(i, "intestazione") for i in sorted({i for i, _, place, _ in edge if place == 0}) if names_act(lines[i - 1], number, title)]
+        first = {i for edge in "tb" for i, *_ in islice(edge_lines(text, numero, edge), 1)}
+        out = [(i, "intestazione") for i in sorted(first) if names_act(lines[i - 1], number, title)]
     full = [(i, s) for i, s in enumerate(text.split("\n"), 1) if s.strip()]
     taken = {i for i, _ in out}
     rest = [(i, s) for i, s in full if i not in taken]
@@ -176,9 +176,8 @@ def flagged(pages: DataFrame, acts: DataFrame) -> DataFrame:
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = ["\n".join(f"{e} {p} {k}" for _, e, p, k in edge_lines(t, n)) for n, t in zip(b["numero"], b["testo"])]
-            some = [bool(k) for k in keys]
-            yield pd.DataFrame({"atto_id": b["atto_id"][some], "n": b["numero"][some], "chiavi": list(compress(keys, some))})
+            keys = ["\n".join(f"{e} {p} {k}" for e in "tb" for _, p, k in edge_lines(t, n, e)) for n, t in zip(b["numero"], b["testo"])]
+            yield pd.DataFrame([(a, n, k) for a, n, k in zip(b["atto_id"], b["numero"], keys) if k], columns=["atto_id", "n", "chiavi"]).astype({"atto_id": "int64", "n": "int32"})
 
     # a page's edge goes to the one or two blocks of pages that it is near to; a block has PAGES + 2 * REACH pages at most
     block = lambda n: F.floor(n / PAGES).cast("int")
