@@ -247,9 +247,8 @@ def split_once(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            lines = ["\n".join(sentences(t)) for t in b["text"]]
-            some = [bool(x) for x in lines]
-            yield pd.DataFrame({"doc_id": b["doc_id"][some], "frasi": list(itertools.compress(lines, some))})
+            rows = [(i, "\n".join(s)) for i, t in zip(b["doc_id"], b["text"]) if (s := sentences(t))]
+            yield pd.DataFrame(rows, columns=["doc_id", "frasi"]).astype({"doc_id": "int64"})
 
     return materialise(docs.mapInPandas(run, "doc_id long, frasi string"), "sentences")
 
